@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name, module, and the module's function; SQL, where there is any, is the module's ``ORACLE_SQL``.
 _QUERIES = {
+    "op4_secrets": "secret_ledger",
     "op8_bpe": "bpe_backtrack",
+    "op10_licenses": "license_join",
 }
 
 
