@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: Query name, module, and the module's function; SQL, where there is any, is the module's ``ORACLE_SQL``.
 _QUERIES = {
+    "op2_nearest": "multi_index_hash",
     "op3_ngram_join": "ngram_join",
     "op4_secrets": "secret_ledger",
     "op8_bpe": "bpe_backtrack",
+    "op9_embedding_dedup": "inverted_multi_index",
     "op10_licenses": "license_join",
 }
 
