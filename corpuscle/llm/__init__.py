@@ -9,6 +9,8 @@ _QUERIES = {
     "op2_nearest": "multi_index_hash",
     "op3_ngram_join": "ngram_join",
     "op4_secrets": "secret_ledger",
+    "op5_toxicity": "weak_toxicity",
+    "op7_language": "crf_language",
     "op8_bpe": "bpe_backtrack",
     "op9_embedding_dedup": "inverted_multi_index",
     "op10_licenses": "license_join",
