@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_ngram_join": "ngram_join",
     "op4_secrets": "secret_ledger",
     "op5_toxicity": "weak_toxicity",
+    "op6_repeats": "bwt_dedup",
     "op7_language": "crf_language",
     "op8_bpe": "bpe_backtrack",
     "op9_embedding_dedup": "inverted_multi_index",
