@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name, module, and the module's function; SQL, where there is any, is the module's ``ORACLE_SQL``.
 _QUERIES = {
+    "op1_pfair_mix": "pfair_mix",
     "op2_nearest": "multi_index_hash",
     "op3_ngram_join": "ngram_join",
     "op4_secrets": "secret_ledger",
