@@ -29,39 +29,35 @@ class Forest:
         return True
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: every node hands the smallest node it knows to its larger (or smaller) neighbours.
-
-    The minima are cut off first, so that the join reads two plain exchanges and
-    the engine can split the partition of a hub.
-    """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = cut(both.groupBy("a").agg(F.min("b").alias("m")))
-    told = both.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
-    if large:
-        told = told.where("b > a").select(F.col("b").alias("a"), F.least("m", "u").alias("b"))
-    else:
-        told = told.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a > b")
-    return told.distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label`` (smallest node of its component) of every node of ``edges(a, b)``.
 
-    Alternating large-star and small-star steps; the number of rounds grows with
-    the logarithm of the size.  Each round is kept in the shared checkpoint
-    folder, and nothing but a count and a checksum comes to the driver.
+    Each round hands every node to its smallest smaller neighbour, follows these
+    steps to their ends (each pass doubles their length) and contracts the edges to
+    the ends; contracted edges that are loops or repeats go.  Every node that is
+    left in a round stands for two of the round before at least, so rounds and
+    passes grow with the logarithm of the size, and a forest of stars takes one.
+    The smallest node of a component is never handed on, so it is the label.
+
+    What a join reads is cut off before, so that both sides are plain exchanges
+    and the engine can split the partition of a hub.  Nothing but a test for
+    emptiness comes to the driver.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        now = cut(_star(_star(now, large=True), large=False))
-        new = _mark(now)
-        if new == mark:
-            break
-        mark = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    steps = []
+    while not now.isEmpty():
+        step = cut(now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.col("m").alias("to"), F.lit(True).alias("on")))
+        while not step.where("on").isEmpty():
+            up = step.select(F.col("from").alias("u"), F.col("to").alias("um"))
+            step = cut(step.join(up, F.col("to") == F.col("u"), "left").select("from", F.coalesce("um", "to").alias("to"), F.col("um").isNotNull().alias("on")))
+        step = step.drop("on")
+        steps.append(step)
+        second = step.select(F.col("from").alias("from2"), F.col("to").alias("to2"))
+        moved = now.join(step, F.col("a") == F.col("from")).select("b", F.col("to").alias("x"))
+        moved = moved.join(second, F.col("b") == F.col("from2"), "left").select("x", F.coalesce("to2", "b").alias("y"))
+        now = cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    out = nodes.withColumn("label", F.col("node"))
+    for step in steps:
+        out = out.join(step, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(out)

@@ -9,7 +9,8 @@ similarity of at least ``SIMILARITY``.
    posted to inverted lists.  If two sets of ``n`` and ``m`` shingles link, their
    first common shingles lie in both posted parts, ``need(n)`` of them at least.
    A set that shares fewer posted shingles than that with all others together
-   cannot link with any and leaves.  What stays is mostly real near copies.
+   cannot link with any and leaves, and each set drops its ``need - 1`` longest
+   lists, which no link depends on.  What stays is mostly real near copies.
 3. *Groups.*  Sets that still share a list form candidate groups (connected
    components over one star a list, never all pairs of a list).
 4. *Search.*  Within a group each set is a T-occurrence query against an index of
@@ -55,6 +56,8 @@ K = 5
 SIMILARITY = 75
 #: Part of each set that is posted (in hundredths); at least what the prefix filter asks for.
 PART = 40
+#: Shingles posted beyond that part, so that short sets are posted whole.
+MORE = 40
 #: Postings of a bucket.
 BUCKET = 1_000_000
 #: Sets, and shingles, of a block of a group.
@@ -68,12 +71,34 @@ def _least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-SIMILARITY * n // 100)
 
 
+def _overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Fewest common shingles of linked sets of ``n`` and ``m``."""
+    return np.maximum(-(-SIMILARITY * (n + m) // (100 + SIMILARITY)), _least_overlap(np.maximum(n, m)))
+
+
 def _posted(n: np.ndarray) -> np.ndarray:
-    return np.minimum(n, np.maximum(-(-PART * n // 100), n - _least_overlap(n) + 1))
+    """How many shingles of a set of ``n`` are posted."""
+    return np.minimum(n, np.maximum(-(-PART * n // 100) + MORE, n - _least_overlap(n) + 1))
+
+
+def _need_of(n: int) -> int:
+    """How many of its posted shingles a set of ``n`` finds posted by any set that it links with.
+
+    The j-th common shingle of two sets stands among the first j + n - overlap of
+    the one and j + m - overlap of the other, so it is posted by both while these
+    stay within the posted parts.  Over the possible sizes m the least is at an
+    end of their range, but for rounding.
+    """
+    low, high = max(1, -(-SIMILARITY * n // 100)), 100 * n // SIMILARITY
+    m = np.arange(low, high + 1) if n <= 512 else np.array([low, high])
+    both = _overlap(np.int64(n), m)
+    least = min(int((_posted(np.int64(n)) - n + both).min()), int((_posted(m) - m + both).min()))
+    return max(1, least if n <= 512 else least - 2)
 
 
 def _need(n: np.ndarray) -> np.ndarray:
-    return np.maximum(1, _posted(n) - n + _least_overlap(n) - 1)
+    sizes, inv = np.unique(n, return_inverse=True)
+    return np.array([_need_of(int(x)) for x in sizes], np.int64)[inv]
 
 
 def _class_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +182,7 @@ def _runs(low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(n_buckets: int):
-    """Of a bucket's postings those that two classes share, dealt out by class."""
+    """Of a bucket's postings those that two classes share, with the lengths of their lists, dealt out by class."""
 
     def run(t: pa.Table) -> pa.Table:
         low, key, size = [], [], []
@@ -169,31 +194,40 @@ def _shared(n_buckets: int):
             size.append(sizes[own])
         bucket = int(t["bucket"][0].as_py())
         low, key, size = np.concatenate(low), np.concatenate(key), np.concatenate(size)
-        order, _ = _runs(low, key)
+        order, starts = _runs(low, key)
+        length = np.repeat(np.diff(np.concatenate((starts, [len(order)]))), np.diff(np.concatenate((starts, [len(order)])))).astype(np.uint32)
         low, key, size = low[order], key[order], size[order]
         order = np.lexsort((low, key))
-        low, key, size = low[order], key[order], size[order]
+        low, key, size, length = low[order], key[order], size[order], length[order]
         keep = np.ones(len(low), bool)
         keep[1:] = (low[1:] != low[:-1]) | (key[1:] != key[:-1])
-        low, key, size = low[keep], key[keep], size[keep]
-        rows = {"part": [], "bucket": [], "low": [], "keys": [], "sizes": []}
-        for p, x in _dealt((mix(key.view(np.uint64)) % _U(n_buckets)).astype(np.int64), n_buckets, low=low, key=key, size=size):
-            for name, v in (("part", p), ("bucket", bucket), ("low", x["low"].tobytes()), ("keys", x["key"].tobytes()), ("sizes", x["size"].tobytes())):
-                rows[name].append(v)
-        return pa.Table.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in ("low", "keys", "sizes"))], names=list(rows))
+        rows = {"part": [], "bucket": [], "low": [], "keys": [], "sizes": [], "lengths": []}
+        for p, x in _dealt((mix(key[keep].view(np.uint64)) % _U(n_buckets)).astype(np.int64), n_buckets, low=low[keep], keys=key[keep], sizes=size[keep], lengths=length[keep]):
+            rows["part"].append(p)
+            rows["bucket"].append(bucket)
+            for name, v in x.items():
+                rows[name].append(v.tobytes())
+        return pa.Table.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in ("low", "keys", "sizes", "lengths"))], names=list(rows))
 
     return run
 
 
 def _enough(t: pa.Table) -> pa.Table:
-    """The postings of the classes that share enough of theirs, by bucket again."""
+    """The postings of the classes that share enough of theirs, by bucket again.
+
+    Of two linked sets the rarest common posting has ``need - 1`` others above it
+    in the order of list lengths, so each class may leave out its ``need - 1``
+    longest lists: common passages then tie no groups together.
+    """
     bucket = np.array(t["bucket"].to_pylist(), np.int64)
     col = lambda name, kind: [np.frombuffer(t[name][i].as_buffer(), kind) for i in range(len(t))]
-    low, key, size = col("low", np.uint32), np.concatenate(col("keys", np.int64)), np.concatenate(col("sizes", np.uint32)).astype(np.int64)
+    low, key, size, length = col("low", np.uint32), np.concatenate(col("keys", np.int64)), np.concatenate(col("sizes", np.uint32)).astype(np.int64), np.concatenate(col("lengths", np.uint32))
     where = np.repeat(bucket, [len(x) for x in low])
     low = np.concatenate(low)
-    _, inv, count = np.unique(key, return_inverse=True, return_counts=True)
-    ok = count[inv] >= _need(size)
+    order = np.lexsort((low, where, length, key))
+    low, key, size, where = low[order], key[order], size[order], where[order]
+    _, first, inv, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    ok = np.arange(len(key)) - first[inv] <= count[inv] - _need(size)
     rows = {"bucket": [], "low": [], "keys": []}
     if ok.any():
         for b, x in _dealt(where[ok], int(where.max()) + 1, low=low[ok], key=key[ok]):
@@ -220,7 +254,7 @@ def _stars(t: pa.Table) -> pa.Table:
 def candidate_groups(docs: DataFrame, k: int, total: int) -> DataFrame:
     """``key`` (first class key) and ``grp`` of every class that may link with another."""
     n_buckets = max(64, -(-total * PART // (100 * BUCKET)))
-    lists = _post(docs, k, n_buckets).groupBy("bucket").applyInArrow(_shared(n_buckets), "part int, bucket int, low binary, keys binary, sizes binary")
+    lists = _post(docs, k, n_buckets).groupBy("bucket").applyInArrow(_shared(n_buckets), "part int, bucket int, low binary, keys binary, sizes binary, lengths binary")
     lists = lists.groupBy("part").applyInArrow(_enough, "bucket int, low binary, keys binary")
     stars = lists.groupBy("bucket").applyInArrow(_stars, "a long, b long")
     return components(stars.distinct()).select(F.col("node").alias("key"), F.col("label").alias("grp"))
@@ -316,7 +350,6 @@ def links(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame:
 
     ``members`` has ``rep``, ``k1``, ``n_shingles`` and ``grp`` of every class that may link.
     """
-    spark = docs.sparkSession
     size = cut(members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")))
     size = size.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     n_bins = max(1, members.count() // BLOCK)
@@ -344,8 +377,10 @@ def links(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame:
     both = named.join(most, F.col("grp") == F.col("g"))
     rest = both.where("label <> top").select("rep", F.col("grp").alias("unit"), F.pmod(F.xxhash64(F.lit(7), F.col("rep")), "rests").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(2).alias("role"), "label")
     whole = both.select("rep", F.col("grp").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("role"), "label")
-    del spark
-    return components(edges.unionByName(search(rest.unionByName(whole))))
+    more = cut(search(rest.unionByName(whole)))
+    if more.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
@@ -364,5 +399,12 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
     return meta.join(classes.select("k1", "k2", "rep", "label"), ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
+def keep_first(docs: DataFrame, k: int = K) -> DataFrame:
+    """One document of each group of linked ones, the smallest doc_id, with its columns; rows without a doc_id stay."""
+    found = near_duplicates(docs, k).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
