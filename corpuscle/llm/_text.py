@@ -83,12 +83,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """``base**0 .. base**(n - 1)``; those of a usual chunk's length are kept."""
+    kept = _POWERS.get(int(base))
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
+    out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n <= MAX_CHUNK + 1:
+        _POWERS[int(base)] = out
+    return out[:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ with a smaller id.
 1. *Anchors.*  Every window of ``LENGTH`` bytes names one of its ``SEED``-byte strings,
    the one with the least hash.  Equal windows name equal strings at equal places,
    so only windows whose anchor stands in two different texts can repeat.  Anchors
-   (about one in twenty bytes) meet in buckets; those of one text only drop out.
+   (about one in sixteen bytes) meet in buckets; those of one text only drop out.
 2. *Contexts.*  For the anchors that are left, the bytes around each occurrence that
    its windows cover go to the anchor's bucket, equal contexts of a chunk once.
 3. *Merging.*  The distinct contexts of a bucket are cut into shards.  Each shard's
@@ -45,9 +45,9 @@ from ._text import Chunk, chunks, csr_gather, mix, prefix_hash, span_hash
 from .ngram_join import _dealt, _runs
 
 #: Bytes of a repeated string, and of an anchor.
-LENGTH, SEED = 50, 12
+LENGTH, SEED = 50, 20
 #: Anchors of a bucket; bytes of text per bucket of contexts; bytes of a shard.
-BUCKET, CONTEXTS, SHARD = 1_000_000, 16 << 20, 1 << 19
+BUCKET, CONTEXTS, SHARD = 1_000_000, 4 << 20, 1 << 19
 #: Text bytes handled at once.
 CHUNK = 2 << 20
 #: The symbol that ends a string; no UTF-8 text has this byte.
@@ -57,6 +57,23 @@ _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 
 
+def _seed_hash(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ``SEED`` bytes at each place: three overlapping words, multiplied and mixed."""
+    n = len(data) - SEED + 1
+    data = np.ascontiguousarray(data)
+    word = lambda at: np.ndarray((n,), "<u8", data, at, (1,)).copy()
+    h = word(0) * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(31)
+    h += word(8)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(29)
+    h += word(SEED - 8)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(32))
+
+
 def anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of anchors: hash, place, first and last window that names it, document."""
     data, n = chunk.data, len(chunk.data)
@@ -64,9 +81,8 @@ def anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none.astype(np.uint64), none, none, none, none
-    at = np.arange(n - SEED + 1)
-    h = span_hash(prefix_hash(data), at, at + SEED)
-    low = (h & ~_LOW) | at.astype(np.uint64)
+    h = _seed_hash(data)
+    low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -74,14 +90,14 @@ def anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if width < span:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     # A window counts if it ends within its document.
-    doc = np.searchsorted(chunk.offsets, np.arange(len(low)), side="right") - 1
-    start = np.flatnonzero(np.arange(len(low)) + LENGTH <= chunk.offsets[doc + 1])
+    per = np.maximum(0, np.diff(chunk.offsets) - LENGTH + 1)
+    start = csr_gather(chunk.offsets[:-1], per)
     if not len(start):
         return none.astype(np.uint64), none, none, none, none
-    place, doc = (low[start] & _LOW).astype(np.int64), doc[start]
+    place, doc = (low[start] & _LOW).astype(np.int64), np.repeat(np.arange(len(chunk), dtype=np.int32), per)
     first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.concatenate((first[1:] - 1, [len(start) - 1]))
-    return h[place[first]], place[first], start[first], start[last], doc[first]
+    return h[place[first]], place[first], start[first], start[last], doc[first].astype(np.int64)
 
 
 def _text_keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -212,33 +228,49 @@ class Transform:
 
     @classmethod
     def of(cls, data: np.ndarray, depth: int, base: int = 0) -> Transform:
-        """Of ``data`` (strings with their ends), sorted by ``depth`` symbols; places count from ``base``."""
-        padded = np.concatenate((data, np.full(depth, END, np.uint8)))
-        # Sorted eight symbols at a time, from the last to the first.
-        order = np.arange(len(data))
-        for lo in range((depth - 1) // 8 * 8, -1, -8):
-            key = np.zeros(len(data), np.uint64)
-            for j in range(lo, min(lo + 8, depth)):
-                key = key << _U(8) | padded[j : j + len(data)].astype(np.uint64)
-            order = order[np.argsort(key[order], kind="stable")]
-        return cls(np.concatenate(([END], data[:-1])).astype(np.uint8)[order], order + base)
+        """Of ``data`` (strings with their ends), sorted by ``depth`` symbols (16 to 64); places count from ``base``.
+
+        Ranks by 8 symbols, then by twice as many from pairs of ranks.
+        """
+        n = len(data)
+        padded = np.concatenate((data, np.full(8, END, np.uint8)))
+        key = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
+        width = 8
+        while True:
+            order = np.argsort(key)
+            s = key[order]
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(np.concatenate(([True], s[1:] != s[:-1]))).astype(np.uint64)
+            if width >= depth:
+                break
+            step = min(width, depth - width)
+            ahead = np.zeros(n, np.uint64)
+            ahead[: n - step] = rank[step:]
+            key = rank << _U(32) | ahead
+            width += step
+        return cls(_pairs(data)[order], order + base)
+
+
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """The two symbols before each place, the strings taken as a ring."""
+    return np.roll(data, 2).astype(np.uint16) << 8 | np.roll(data, 1)
 
 
 def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
     """The transform of both, and the borders: where the first ``depth`` symbols differ from the suffix before.
 
     ``source`` says which transform each merged suffix comes from.  A stable pass
-    by the symbol before each suffix puts the suffixes one symbol longer in order,
-    so after ``depth`` passes they are sorted by ``depth`` symbols.  ``block`` numbers
-    the runs of equal prefixes so far.
+    by the two symbols before each suffix puts the suffixes two symbols longer in
+    order, so after half as many passes they are sorted by ``depth`` (even)
+    symbols.  ``block`` numbers the runs of equal prefixes so far.
     """
     n = len(a.symbols) + len(b.symbols)
     source = np.zeros(n, bool)
     source[len(a.symbols) :] = True
     block = np.zeros(n, np.int32)
-    symbols = np.empty(n, np.uint8)
+    symbols = np.empty(n, np.uint16)
     border = np.zeros(n, bool)
-    for _ in range(depth):
+    for _ in range(depth // 2):
         symbols[~source], symbols[source] = a.symbols, b.symbols
         order = np.argsort(symbols, kind="stable")
         s, k = symbols[order], block[order]
@@ -265,12 +297,13 @@ def repeated(strings: np.ndarray, sizes: np.ndarray, depth: int, shard: int = SH
     data[csr_gather(starts, sizes)] = strings
     ends = starts + sizes + 1
     parts, lo = [], 0
+    shard = min(shard, total // 2 + 1)
     while lo < len(sizes):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + shard, side="right")))
         parts.append(Transform.of(data[starts[lo] : ends[hi - 1]], depth, int(starts[lo])))
         lo = hi
     if len(parts) == 1:
-        parts.append(Transform(np.zeros(0, np.uint8), np.zeros(0, np.int64)))
+        parts.append(Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64)))
     border = np.zeros(0, bool)
     while len(parts) > 1:
         merged = [merge(parts[i], parts[i + 1], depth) for i in range(0, len(parts) - 1, 2)]
@@ -279,6 +312,20 @@ def repeated(strings: np.ndarray, sizes: np.ndarray, depth: int, shard: int = SH
     return parts[0].places, np.cumsum(border)
 
 
+def _alike(text: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Which contexts have a window whose hash another window has; strings of the others stand alone."""
+    if not len(at):
+        return at
+    start = csr_gather(at, windows)
+    h = span_hash(prefix_hash(text), start, start + LENGTH)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    return np.flatnonzero(np.logical_or.reduceat(twice, np.concatenate(([0], np.cumsum(windows)[:-1]))))
+
+
 def _found(t: pa.Table) -> pa.Table:
     """Windows of a bucket's contexts that an earlier document has, as masks by document."""
     cat = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in t[name]]
@@ -296,32 +343,40 @@ def _found(t: pa.Table) -> pa.Table:
     np.minimum.at(least, which, ids)
     anchor, size, at = anchor[first], size[first].astype(np.int64), at[:-1][first]
     n_windows = size - LENGTH + 1
-    # Windows of all contexts, by context: the smallest document that has each.
-    w_at = np.concatenate(([0], np.cumsum(n_windows)))
-    owner = np.repeat(np.arange(len(first)), n_windows)
-    smallest = least[owner]
+    # An anchor with one context: its windows are all the smallest document's.
+    mask = np.zeros(len(which), np.uint64)
+    later = least[which] < ids
+    mask[later] = (_U(1) << n_windows[which[later]].astype(np.uint64)) - _U(1)
     # Only anchors with several contexts need their strings compared.
     _, a_inv, a_count = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(a_count[a_inv] > 1)
+    several = several[_alike(text, at[several], n_windows[several])]
+    back = np.full(len(size), -1)
     if len(several):
+        # The windows of these contexts, by context: the smallest document that has each.
+        windows = n_windows[several]
+        w_at = np.concatenate(([0], np.cumsum(windows)))
+        smallest = np.repeat(least[several], windows)
         places, interval = repeated(text[csr_gather(at[several], size[several])], size[several], LENGTH)
         starts = np.concatenate(([0], np.cumsum(size[several] + 1)))
-        ctx = np.searchsorted(starts, places, side="right") - 1
+        ctx = np.repeat(np.arange(len(several)), size[several] + 1)[places]
         offset = places - starts[ctx]
-        window = offset < n_windows[several][ctx]
-        w = (w_at[several][ctx] + offset)[window]
+        window = offset < windows[ctx]
+        w = w_at[ctx[window]] + offset[window]
         interval = interval[window]
         low = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, interval, smallest[w])
         smallest[w] = low[interval]
-    # The windows of each occurrence that an earlier document has.
-    per = n_windows[which]
-    w = csr_gather(w_at[which], per)
-    occurrence = np.repeat(np.arange(len(which)), per)
-    bit = (w - w_at[which][occurrence]).astype(np.uint64)
-    gone = smallest[w] < ids[occurrence]
-    mask = np.zeros(len(which), np.uint64)
-    np.bitwise_or.at(mask, occurrence[gone], _U(1) << bit[gone])
+        # The windows of each occurrence that an earlier document has.
+        back[several] = np.arange(len(several))
+        mine = np.flatnonzero(back[which] >= 0)
+        c = back[which[mine]]
+        per = windows[c]
+        w = csr_gather(w_at[c], per)
+        first = np.concatenate(([0], np.cumsum(per)[:-1]))
+        bit = np.arange(len(w)) - np.repeat(first, per)
+        gone = smallest[w] < np.repeat(ids[mine], per)
+        mask[mine] = np.bitwise_or.reduceat(gone.astype(np.uint64) << bit.astype(np.uint64), first)
     some = np.flatnonzero(mask)
     some = some[np.lexsort((number[some], ids[some]))]
     doc = ids[some]
@@ -370,7 +425,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     meta = cut(text_classes(docs))
     total = meta.agg(F.sum("n_bytes")).first()[0] or 0
-    n_anchor_buckets = max(64, total // (20 * BUCKET))
+    n_anchor_buckets = max(64, total // (16 * BUCKET))
     n_buckets = max(64, total // CONTEXTS)
     classes = cut(meta.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     shared = _post(docs, n_anchor_buckets).groupBy("bucket").applyInArrow(_shared(n_anchor_buckets), "part int, found binary, keys binary")
