@@ -175,6 +175,18 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, until:
     )
 
 
+def mixed_documents(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 29) -> DataFrame:
+    """The documents in the mixture's order, with their columns: range by range of slots, and sorted within.
+
+    Rows without a doc_id come last.
+    """
+    plan = mix(docs, weights, block, "all", seed).select(F.col("doc_id").alias("mix_id"), (F.col("slot") * block + F.col("position")).alias("mix_at"))
+    plan = plan.dropDuplicates(["mix_id"])
+    rows = docs.join(plan, F.col("doc_id") == F.col("mix_id"), "left")
+    order = F.coalesce("mix_at", F.lit((1 << 62)))
+    return rows.withColumn("mix_order", order).repartitionByRange("mix_order", "doc_id").sortWithinPartitions("mix_order", "doc_id").select(*docs.columns)
+
+
 def lag(weight: Fraction, slots: int, blocks: int) -> Fraction:
     """How far a source is behind its target after ``slots`` slots of a phase with ``blocks`` of its own."""
     return weight * slots - blocks

@@ -182,6 +182,17 @@ def redact(text: Column, places: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(places) > 0, merged).otherwise(text)
 
 
+def redact_documents(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The documents with their secrets marked out, with their columns; ``n_chars`` follows the text."""
+    versions = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found = by_blob(scan(unseen(versions, rules), rules), rules).select(F.col("blob").alias("blob_"), F.col("places").alias("places_"))
+    here = docs.withColumn("blob_here", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    out = here.join(found, F.col("blob_here") == F.col("blob_"), "left")
+    text = F.when(F.col("places_").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("places_")))
+    cols = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*cols)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 

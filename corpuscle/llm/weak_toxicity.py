@@ -224,5 +224,20 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that aren't predicted toxic, with their columns; one pass without a shuffle."""
+    model = Model(labelled_sample(docs, labels))
+    model.labels = None
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(at)], ["doc_id", "text"])
+            keep = [model.score(c) < 0.5 for c in chunks([plain])]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
