@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that a kernel handles at once.
-MAX_CHUNK = 4 << 20
+MAX_CHUNK = 1 << 20
 
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15 | 1)  # odd, so it has an inverse modulo 2**64
@@ -94,7 +94,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)
-    if n <= MAX_CHUNK + 1:
+    if n <= 2 * MAX_CHUNK + 1:
         _POWERS[int(base)] = out
     return out[:n]
 

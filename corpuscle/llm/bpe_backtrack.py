@@ -38,7 +38,7 @@ from ._text import _buffers, csr_gather
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct pretokens remembered by a task; beyond that the memory starts anew (speed only).
-MEMORY = 500_000
+MEMORY = 250_000
 
 NAME = "byte_bpe_50k.json"
 
@@ -148,7 +148,7 @@ class Bpe:
                 else:
                     limit, y = ry + 0.5, self.parts[y][0]
             self.compatible[a, b] = got
-            if len(self.compatible) > 4 * MEMORY:
+            if len(self.compatible) > MEMORY:
                 self.compatible.clear()
         return got
 
