@@ -38,3 +38,13 @@ def partitions(spark: SparkSession) -> int:
 def crc_mod(col: str, mod: int):
     """``crc32`` of the id as text, modulo ``mod``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs meets a name of ours."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **instead) -> DataFrame:
+    """The columns of ``row`` again, some of them replaced."""
+    return df.select(*(instead.get(c, F.col("row").getField(c)).alias(c) for c in columns))

@@ -47,8 +47,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import Forest, components
-from ._spark import cut, table
-from ._text import Chunk, chunks, mix, shingle_sets
+from ._spark import cut, packed, table, unpacked
+from ._text import MAX_CHUNK, chunks, mix, shingle_sets
 
 #: Words of a shingle.
 K = 5
@@ -143,7 +143,7 @@ def _post(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
     """Posted shingles by bucket: 32 bits each, the class of each, the classes' keys and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
+        for c in chunks(batches, size=2 * MAX_CHUNK):
             h, off = shingle_sets(c, k)
             n, (key, _) = np.diff(off), _class_keys(h, off)
             _, first = np.unique(key, return_index=True)
@@ -402,8 +402,9 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
 def keep_first(docs: DataFrame, k: int = K) -> DataFrame:
     """One document of each group of linked ones, the smallest doc_id, with its columns; rows without a doc_id stay."""
     found = near_duplicates(docs, k).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = packed(docs).withColumn("id", F.col("row.doc_id"))
+    kept = rows.where("id is not null").join(found, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id"])
+    return unpacked(kept.unionByName(rows.where("id is null")), docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import cut, packed, table, unpacked
 
 #: Whole parts of a weight: the length of a period in slots.
 PARTS = 1000
@@ -182,9 +182,9 @@ def mixed_documents(docs: DataFrame, weights: dict | None = None, block: int = B
     """
     plan = mix(docs, weights, block, "all", seed).select(F.col("doc_id").alias("mix_id"), (F.col("slot") * block + F.col("position")).alias("mix_at"))
     plan = plan.dropDuplicates(["mix_id"])
-    rows = docs.join(plan, F.col("doc_id") == F.col("mix_id"), "left")
-    order = F.coalesce("mix_at", F.lit((1 << 62)))
-    return rows.withColumn("mix_order", order).repartitionByRange("mix_order", "doc_id").sortWithinPartitions("mix_order", "doc_id").select(*docs.columns)
+    rows = packed(docs).join(plan, F.col("row.doc_id") == F.col("mix_id"), "left")
+    rows = rows.select("row", F.coalesce("mix_at", F.lit(1 << 62)).alias("at"), F.col("row.doc_id").alias("id"))
+    return unpacked(rows.repartitionByRange("at", "id").sortWithinPartitions("at", "id"), docs.columns)
 
 
 def lag(weight: Fraction, slots: int, blocks: int) -> Fraction:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import packed, table, unpacked
 
 
 @dataclass(frozen=True)
@@ -186,11 +186,12 @@ def redact_documents(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents with their secrets marked out, with their columns; ``n_chars`` follows the text."""
     versions = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     found = by_blob(scan(unseen(versions, rules), rules), rules).select(F.col("blob").alias("blob_"), F.col("places").alias("places_"))
-    here = docs.withColumn("blob_here", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    here = packed(docs).withColumn("blob_here", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256))
     out = here.join(found, F.col("blob_here") == F.col("blob_"), "left")
-    text = F.when(F.col("places_").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("places_")))
-    cols = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    text = F.col("row.text")
+    # A column of its own first, so that the redaction is done once.
+    out = out.withColumn("redacted", F.when(F.col("places_").isNull(), text).otherwise(redact(text, F.col("places_"))))
+    return unpacked(out, docs.columns, text=F.col("redacted"), n_chars=F.length("redacted").cast("long"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
