@@ -241,7 +241,7 @@ def toxicity_audit(spark, sf_dir):
 
 
 def labelled_documents(spark, sf_dir):
-    return cleaning.labelled(_docs(spark, sf_dir), _table(spark, sf_dir, "labels")).select("doc_id", "lang", "quality", "toxic")
+    return cleaning.labelled(_docs(spark, sf_dir), _table(spark, sf_dir, "labels")).select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 def cleaning_funnel(spark, sf_dir):

@@ -135,7 +135,7 @@ select doc_id, sha256(array_to_string(x, '')) text_sha256 from p where len(x) >
         "personal_data": f"select doc_id, {', '.join(f'len(regexp_extract_all({_T}, {_q2(p)}))::bigint {k}' for k, p in C.PII.items() if k != 'card')}, len(list_filter(regexp_extract_all({_T}, {_q2(C.PII['card'])}), lambda x: {_LUHN}))::bigint card from documents",
         "toxicity_thresholds": f"with {_TOXIC} select doc_id, lang, hits, per_mille, flagged from flags",
         "toxicity_audit": f"with {_TOXIC} select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by {_HASH60(chr(39) + 'audit' + chr(39) + ' || doc_id')}, doc_id) r from flags where flagged) where r <= 20",
-        "labelled_documents": "select d.doc_id, lang, quality, toxic from documents d left join labels l on d.doc_id = l.doc_id",
+        "labelled_documents": "select d.doc_id, lang, coalesce(quality, -1) quality, coalesce(toxic, -1) toxic from documents d left join labels l on d.doc_id = l.doc_id",
         "cleaning_funnel": _funnel(),
         "mixture_shares": f"with {_MIX} select slice, amount, share, target, rate from rated",
         "mixture_sample": f"with {_MIX} select doc_id, lang from documents join rated on lang = slice where {_HASH60(chr(39) + 'mix' + chr(39) + ' || doc_id')} / {float(1 << 60)!r} < rate",
