@@ -188,3 +188,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same by all pairs, and the closure of the links; for small tables.
+ORACLE_SQL = """
+with recursive d as (select len(embedding) d from embeddings group by 1 order by count(*) desc, 1 desc limit 1),
+v as (select vec_id, embedding::double[] x from embeddings, d where vec_id is not null and len(embedding) = d and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.9),
+r(vec_id, other) as (select vec_id, vec_id from embeddings where vec_id is not null union select r.vec_id, l.b from r join l on r.other = l.a),
+k as (select vec_id, min(other) component_id from r group by vec_id)
+select k.vec_id, (select count(*) from l where l.a = k.vec_id)::bigint n_links, component_id, k.vec_id = component_id kept from k"""

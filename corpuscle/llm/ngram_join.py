@@ -409,3 +409,17 @@ def keep_first(docs: DataFrame, k: int = K) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same by all pairs that share a shingle, and the closure of the links; for small tables.
+ORACLE_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents where doc_id is not null),
+s as (select distinct doc_id, array_to_string(w[i:i+{K - 1}], ' ') g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - {K - 1}) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {SIMILARITY} * (x.n + y.n - c)),
+r(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, l.b from r join l on r.other = l.a),
+k as (select doc_id, min(other) component_id from r group by doc_id),
+e as (select doc_id, coalesce(list(g order by g), []) x from w left join s using (doc_id) group by doc_id),
+z as (select doc_id, case when len(list_filter(x, lambda v: v is not null)) = 0 then doc_id else min(doc_id) over (partition by x) end class_id from e)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, class_id from w left join n on w.doc_id = n.doc_id join k on w.doc_id = k.doc_id join z on w.doc_id = z.doc_id"""
