@@ -76,6 +76,20 @@ def joiners(c: Column | str) -> Column:
     return _count(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"[\x{200c}\x{200d}]")
 
 
+#: Groups that a join meets by broadcast: after the largest ones, no group has more than this part's inverse of all rows.
+HOT_GROUPS = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows joined with their group.
+
+    The largest groups, a fixed number of rows, are broadcast; the others are
+    joined by a shuffle in which no key is hot any more.
+    """
+    hot = F.broadcast(groups.orderBy(F.desc(size), key).limit(HOT_GROUPS))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups, key))
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``digest``, ``copies``, ``kept``: the smallest doc_id of each text stays.
 
@@ -84,7 +98,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    return rows.join(groups, "digest").select("doc_id", "digest", "copies", (F.col("doc_id") == F.col("first_id")).alias("kept"))
+    return with_groups(rows, groups, "digest", "copies").select("doc_id", "digest", "copies", (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -97,7 +111,7 @@ def paragraph_duplicates(docs: DataFrame) -> DataFrame:
     rows = paragraphs(docs).withColumn("digest", F.sha2(F.col("paragraph").cast("binary"), 256))
     groups = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"))
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
-    return rows.join(groups, "digest").select("doc_id", "pos", "paragraph", "copies", kept.alias("kept"))
+    return with_groups(rows, groups, "digest", "copies").select("doc_id", "pos", "paragraph", "copies", kept.alias("kept"))
 
 
 def without_repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -132,9 +146,9 @@ def minhash_links(docs: DataFrame, unit: list[str] | None = None) -> DataFrame:
     mins = lambda h: F.array(*(least(h, a, b) for a, b in hash_family()))
     values = lambda m: F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda k: F.array_join(F.slice(m, k * ROWS + 1, ROWS), "_"))
     band = F.posexplode(T.let(F.col("h"), lambda h: T.let(mins(h), values)))
-    bands = rows.where(F.size("h") > 0).select("doc_id", band.alias("band", "value"))
-    hubs = bands.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(hubs, ["band", "value"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    bands = rows.where(F.size("h") > 0).select("doc_id", band.alias("band", "value")).select("doc_id", F.concat_ws(":", "band", "value").alias("bucket"))
+    hubs = bands.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = with_groups(bands, hubs, "bucket", "n").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     sets = rows.select("doc_id", "h")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
@@ -164,10 +178,17 @@ def quality_features(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, low: float = 0.05) -> DataFrame:
-    """``doc_id``, ``lang``, ``letters``, ``least``, ``kept``: each language's own threshold, its ``low`` quantile of the share of letters."""
-    f = quality_features(docs)
-    least = f.groupBy("lang").agg(F.expr(f"percentile(letters, {low})").alias("least"))
-    joined = f.join(F.broadcast(least.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")))
+    """``doc_id``, ``lang``, ``letters``, ``least``, ``kept``: each language's own threshold, its ``low`` quantile of the share of letters.
+
+    Shares are cut to four decimals and counted, so a language's quantile comes
+    from 10,001 counts at most, however many documents it has.
+    """
+    f = quality_features(docs).withColumn("letters", F.floor(F.col("letters") * 10000) / 10000)
+    counts = f.groupBy(F.col("lang").alias("l"), "letters").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("l")
+    below = counts.select("l", "letters", F.sum("n").over(w.orderBy("letters")).alias("up_to"), F.sum("n").over(w).alias("all"))
+    least = below.where(F.col("up_to") >= F.col("all") * low).groupBy("l").agg(F.min("letters").alias("least"))
+    joined = f.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("l")))
     return joined.select("doc_id", "lang", "letters", "least", ((F.col("letters") >= F.col("least")) & (F.col("repeated_lines") < 0.5) & (F.col("upper") < 0.5)).alias("kept"))
 
 

@@ -61,9 +61,9 @@ g as (select digest, min(struct_pack(doc_id := doc_id, pos := pos)) f, count(*)
 _NGRAM = lambda table, key, n: f"(select distinct {key}, array_to_string(w[i:i+{n - 1}], ' ') g from (select {key}, w, unnest(range(1, len(w) - {n - 2})) i from (select {key}, {_GRAMS} w from {table}) where len(w) >= {n}))"
 _DIRTY = f"select doc_id, count(distinct item_id) items from {_NGRAM('documents', 'doc_id', 13)} a join {_NGRAM('benchmark', 'item_id', 13)} b using (g) group by doc_id"
 _HASH60 = lambda x: f"('0x' || substr(md5({x}), 1, 15))::bigint"
-_FEATURES = rf"""f as (select doc_id, lang, coalesce(len(regexp_extract_all({_T}, '\p{{L}}')) / nullif(length({_T}), 0), 0) letters, coalesce(len(regexp_extract_all({_T}, '\p{{Lu}}')) / nullif(length({_T}), 0), 0) upper,
+_FEATURES = rf"""f as (select doc_id, lang, floor(coalesce(len(regexp_extract_all({_T}, '\p{{L}}')) / nullif(length({_T}), 0), 0) * 10000) / 10000 letters, coalesce(len(regexp_extract_all({_T}, '\p{{Lu}}')) / nullif(length({_T}), 0), 0) upper,
  1 - len(list_distinct(string_split({_T}, chr(10)))) / len(string_split({_T}, chr(10))) repeated from documents),
-least_ as (select lang l, quantile_cont(letters, 0.05) least from f group by lang),
+least_ as (select l, min(letters) least from (select lang l, letters, count(*) over (partition by lang order by letters) up_to, count(*) over (partition by lang) n from f) where up_to >= n * 0.05::double group by l),
 kept as (select doc_id, lang, letters, least, letters >= least and repeated < 0.5 and upper < 0.5 kept from f join least_ on lang is not distinct from l)"""
 _LUHN = "list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 1 then (2 * substr(x, i, 1)::int) // 10 + (2 * substr(x, i, 1)::int) % 10 else substr(x, i, 1)::int end)) % 10 = 0"
 _SHARES = lambda rows, slice_, amount, targets: f"""t as (select {slice_} slice, sum({amount})::bigint amount from {rows} group by 1),
