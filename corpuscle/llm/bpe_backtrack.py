@@ -37,8 +37,8 @@ from ._text import _buffers, csr_gather
 #: The pattern that cuts a text into pretokens before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Distinct pretokens remembered by a task; beyond that the memory starts anew (speed only).
-MEMORY = 250_000
+#: Distinct pretokens of a generation of a worker's memory; two generations are held (speed only).
+MEMORY = 200_000
 
 NAME = "byte_bpe_50k.json"
 
@@ -59,6 +59,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """Numbers of pretokens; one that is new is numbered by ``make``."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str) -> int:
+        return self.make(piece)
+
+
 class Bpe:
     """An exact byte-level BPE encoder and decoder for one vocabulary file."""
 
@@ -75,12 +85,24 @@ class Bpe:
             self.pairs[a, b] = r
             if a + b not in self.rank:
                 self.rank[a + b], self.parts[a + b] = r, (a, b)
-        self.trie = ahocorasick.Automaton()
-        for t in self.id_of:
-            if len(t) == 1 or t in self.rank:
-                self.trie.add_word(t.decode("latin-1"), t)
-        self.shorter: dict[bytes, bytes | None] = {}
         self.compatible: dict[tuple[bytes, bytes], bool] = {}
+        self.token = {i: t for t, i in self.id_of.items()}
+        self.fits: dict[int, bool] = {}
+        # Only tokens that the merges of their own bytes lead to can ever stand.
+        stand = {t for t in self.id_of if len(t) == 1 or self._whole(t)}
+        self.automaton = ahocorasick.Automaton()
+        top = max(self.id_of.values()) + 1
+        self.length, self.shorter = [0] * top, [-1] * top
+        for t in stand:
+            i = self.id_of[t]
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.length[i] = len(t)
+            k = len(t) - 1
+            while k and t[:k] not in stand:
+                k -= 1
+            if k:
+                self.shorter[i] = self.id_of[t[:k]]
+        self.automaton.make_automaton()
         self.added = {t["content"]: t["id"] for t in doc.get("added_tokens", ())}
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         top = max([*self.id_of.values(), *self.added.values()]) + 1
@@ -99,83 +121,73 @@ class Bpe:
         self._forget()
 
     def _forget(self) -> None:
-        """Empty the memory of pretokens: piece number k has the ids ``_flat[_start[k]:_start[k + 1]]``."""
-        self.known: dict[str, int] = {}
-        self._flat, self._start = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64)
+        """Start the memory of pretokens anew: piece number k has the ids ``_flat[_start[k]:_start[k + 1]]``.
 
-    def _shorter(self, t: bytes) -> bytes | None:
-        """The longest token that is a proper prefix of ``t``."""
-        if t not in self.shorter:
-            k = len(t) - 1
-            while k and t[:k] not in self.id_of:
-                k -= 1
-            self.shorter[t] = t[:k] if k else None
-        return self.shorter[t]
-
-    def _longest(self, s: str, at: int) -> bytes | None:
-        """The longest token that starts at ``at``."""
-        k = self.trie.longest_prefix(s[at : at + 256])
-        t = s[at : at + k].encode("latin-1")
-        while t and t not in self.id_of:
-            t = self._shorter(t) or b""
-        return t or None
-
-    def _fits(self, a: bytes, b: bytes) -> bool:
+        What the last memory knew stays at hand for one more generation, so frequent
+        pretokens are never encoded again.
+        """
+        self.before = (self.known, self._flat, self._start) if hasattr(self, "known") else ({}, None, None)
+        self.known = _Memory(self._number)
+        self._flat, self._start = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+
+    def _fits(self, a: int, b: int) -> bool:
         """Whether no merge ever crosses the border between tokens ``a`` and ``b`` standing side by side.
 
         Both tokens are taken apart from their last merge backwards, the later
         merge first; the parts that touch the border at that time must not have
-        a merge that would have come before.
+        a merge that would have come before.  The table of pairs keeps the answer.
         """
-        got = self.compatible.get((a, b))
-        if got is None:
-            x, y, limit = a, b, 1 << 60
-            got = True
-            while True:
-                r = self.pairs.get((x, y))
-                if r is not None and r < limit:
-                    got = False
-                    break
-                rx, ry = self.rank.get(x, -1) if len(x) > 1 else -1, self.rank.get(y, -1) if len(y) > 1 else -1
-                if rx < 0 and ry < 0:
-                    break
-                if rx > ry or (rx == ry and rx >= 0):
-                    # Equal merges are done from the left: the left part's came first.
-                    if rx == ry:
-                        limit, y = ry + 0.5, self.parts[y][0]
-                    else:
-                        limit, x = rx, self.parts[x][1]
-                else:
-                    limit, y = ry + 0.5, self.parts[y][0]
-            self.compatible[a, b] = got
-            if len(self.compatible) > MEMORY:
-                self.compatible.clear()
+        x, y, limit, got = self.token[a], self.token[b], 1 << 60, True
+        while True:
+            r = self.pairs.get((x, y))
+            if r is not None and r < limit:
+                got = False
+                break
+            rx, ry = self.rank.get(x, -1) if len(x) > 1 else -1, self.rank.get(y, -1) if len(y) > 1 else -1
+            if rx < 0 and ry < 0:
+                break
+            # Equal merges are done from the left, so the left part's came first.
+            if rx > ry:
+                limit, x = rx, self.parts[x][1]
+            else:
+                limit, y = ry + 0.5, self.parts[y][0]
+        if len(self.fits) > 2 * MEMORY:
+            self.fits.clear()
+        self.fits[a << 20 | b] = got
         return got
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one pretoken."""
-        if piece in self.id_of and (len(piece) == 1 or self._whole(piece)):
-            return [self.id_of[piece]]
-        s, n = piece.decode("latin-1"), len(piece)
-        dead = bytearray(n + 1)
-        out: list[bytes] = []
-        at, nxt = 0, self._longest(s, 0)
+        n = len(piece)
+        longest = [-1] * n
+        for end, (t, size) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end + 1 - size] = t  # ends rise, so the last is the longest
+        length, shorter, fits = self.length, self.shorter, self.fits
+        dead, out, at, last, t = None, [], 0, -1, longest[0] if n else -1
         while at < n:
-            t, last = nxt, out[-1] if out else None
-            while t is not None and (dead[at + len(t)] or (last is not None and not self._fits(last, t))):
-                t = self._shorter(t)
-            if t is not None:
+            while t >= 0:
+                if dead is None or at + length[t] not in dead:
+                    if last < 0:
+                        break
+                    ok = fits.get(last << 20 | t)
+                    if self._fits(last, t) if ok is None else ok:
+                        break
+                t = shorter[t]
+            if t >= 0:
                 out.append(t)
-                at += len(t)
-                nxt = self._longest(s, at) if at < n else None
+                at += length[t]
+                last = t
+                if at < n:
+                    t = longest[at]
             elif out:
-                dead[at] = 1
-                last = out.pop()
-                at -= len(last)
-                nxt = self._shorter(last)
+                dead = dead or set()
+                dead.add(at)
+                t = out.pop()
+                at -= length[t]
+                last, t = out[-1] if out else -1, shorter[t]
             else:
                 raise ValueError("the vocabulary lacks some bytes")
-        return [self.id_of[t] for t in out]
+        return out
 
     def _whole(self, t: bytes) -> bool:
         """Whether the merges of ``t`` alone lead to the single token ``t``."""
@@ -205,11 +217,13 @@ class Bpe:
                 limit, y = ry + 0.5, self.parts[y][0]
 
     def _number(self, piece: str) -> int:
-        k, ids = len(self.known), self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        k, (old, flat, start) = len(self.known), self.before
+        j = dict.get(old, piece)
+        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass")) if j is None else flat[start[j] : start[j + 1]]
         lo = int(self._start[k])
         hi = lo + len(ids)
         if hi > len(self._flat):
-            self._flat = np.concatenate((self._flat, np.zeros(max(hi, len(self._flat)), np.int64)))
+            self._flat = np.concatenate((self._flat, np.zeros(max(hi, len(self._flat)), np.int32)))
         if k + 2 > len(self._start):
             self._start = np.concatenate((self._start, np.zeros(len(self._start), np.int64)))
         self._flat[lo:hi] = ids
@@ -221,20 +235,18 @@ class Bpe:
         """Token ids of a text, added tokens included."""
         if len(self.known) > MEMORY:
             self._forget()
-        get, number = self.known.get, self._number
         if self.split_added is not None and any(t in text for t in self.added):
             out = []
             for k, part in enumerate(self.split_added.split(text)):
                 if k % 2:
                     out.append(np.array([self.added[part]], np.int64))
                 elif part:
-                    out.append(self._ids(part, get, number))
+                    out.append(self._ids(part))
             return np.concatenate(out) if out else np.zeros(0, np.int64)
-        return self._ids(text, get, number)
+        return self._ids(text)
 
-    def _ids(self, text, get, number) -> np.ndarray:
-        pieces = self.pretokens(text)
-        codes = np.fromiter((k if (k := get(p)) is not None else number(p) for p in pieces), np.int64, len(pieces))
+    def _ids(self, text: str) -> np.ndarray:
+        codes = np.array(list(map(self.known.__getitem__, self.pretokens(text))), np.int64)
         lo = self._start[codes]
         return self._flat[csr_gather(lo, self._start[codes + 1] - lo)]
 
