@@ -80,6 +80,11 @@ def joiners(c: Column | str) -> Column:
 HOT_GROUPS = 1000
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several uses: in the shared checkpoint folder if there is one, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Rows joined with their group.
 
@@ -142,11 +147,12 @@ def minhash_links(docs: DataFrame, unit: list[str] | None = None) -> DataFrame:
     """
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     rows = rows.select("doc_id", shingle_hashes(F.col("text")).alias("h"))
-    least = lambda h, a, b: F.array_min(F.transform(h, lambda x: (x * F.lit(a) + F.lit(b)) % PRIME))
-    mins = lambda h: F.array(*(least(h, a, b) for a, b in hash_family()))
-    values = lambda m: F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda k: F.array_join(F.slice(m, k * ROWS + 1, ROWS), "_"))
-    band = F.posexplode(T.let(F.col("h"), lambda h: T.let(mins(h), values)))
-    bands = rows.where(F.size("h") > 0).select("doc_id", band.alias("band", "value")).select("doc_id", F.concat_ws(":", "band", "value").alias("bucket"))
+    rows = once(rows.where(F.size("h") > 0))
+    # One minimum a hash over exploded shingles: compiled code, and the shuffle carries minima only.
+    mins = [F.min((F.col("x") * F.lit(a) + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(hash_family())]
+    signed = rows.select("doc_id", F.explode("h").alias("x")).groupBy("doc_id").agg(*mins)
+    values = F.array(*(F.concat_ws("_", *(f"m{i}" for i in range(k, k + ROWS))) for k in range(0, HASHES, ROWS)))
+    bands = signed.select("doc_id", F.posexplode(values).alias("band", "value")).select("doc_id", F.concat_ws(":", "band", "value").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = with_groups(bands, hubs, "bucket", "n").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     sets = rows.select("doc_id", "h")
