@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -187,10 +186,5 @@ def mixed_documents(docs: DataFrame, weights: dict | None = None, block: int = B
     return unpacked(rows.repartitionByRange("at", "id").sortWithinPartitions("at", "id"), docs.columns)
 
 
-def lag(weight: Fraction, slots: int, blocks: int) -> Fraction:
-    """How far a source is behind its target after ``slots`` slots of a phase with ``blocks`` of its own."""
-    return weight * slots - blocks
-
-
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
