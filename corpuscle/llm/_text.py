@@ -8,6 +8,7 @@ size of an Arrow batch.  A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,6 +62,15 @@ def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets, null
 
 
+def rest() -> None:
+    """Give unused memory back to the machine: a worker outlives its task, and the next one may need the room elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_col: str = "text", size: int = MAX_CHUNK) -> Iterator[Chunk]:
     """Cut Arrow batches into chunks of whole documents."""
     for batch in batches:
@@ -71,6 +81,7 @@ def chunks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_col:
             lo, hi = int(offsets[at]), int(offsets[to])
             yield Chunk(ids.slice(at, to - at), data[lo:hi], offsets[at : to + 1] - lo, null[at:to])
             at = to
+    rest()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -94,7 +105,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)
-    if n <= 2 * MAX_CHUNK + 1:
+    if n <= MAX_CHUNK + 1:
         _POWERS[int(base)] = out
     return out[:n]
 

@@ -32,13 +32,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ._spark import table
-from ._text import _buffers, csr_gather
+from ._text import _buffers, csr_gather, rest
 
 #: The pattern that cuts a text into pretokens before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct pretokens of a generation of a worker's memory; two generations are held (speed only).
-MEMORY = 200_000
+MEMORY = 150_000
 
 NAME = "byte_bpe_50k.json"
 
@@ -85,11 +85,11 @@ class Bpe:
             self.pairs[a, b] = r
             if a + b not in self.rank:
                 self.rank[a + b], self.parts[a + b] = r, (a, b)
-        self.compatible: dict[tuple[bytes, bytes], bool] = {}
+        self.whole: dict[bytes, bool] = {}
         self.token = {i: t for t, i in self.id_of.items()}
         self.fits: dict[int, bool] = {}
         # Only tokens that the merges of their own bytes lead to can ever stand.
-        stand = {t for t in self.id_of if len(t) == 1 or self._whole(t)}
+        stand = {t for t in self.id_of if self._whole(t)}
         self.automaton = ahocorasick.Automaton()
         top = max(self.id_of.values()) + 1
         self.length, self.shorter = [0] * top, [-1] * top
@@ -118,6 +118,12 @@ class Bpe:
         self.dec_offset = np.concatenate(([0], np.cumsum([len(t) for t in decimal])))
         self.dec_blob = np.frombuffer(b"".join(decimal), np.uint8)
         self.pretokens = regex.compile(PATTERN).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was learned from texts; the vocabulary stays."""
+        self.fits.clear()
+        self._forget()
         self._forget()
 
     def _forget(self) -> None:
@@ -130,30 +136,43 @@ class Bpe:
         self.known = _Memory(self._number)
         self._flat, self._start = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
-    def _fits(self, a: int, b: int) -> bool:
-        """Whether no merge ever crosses the border between tokens ``a`` and ``b`` standing side by side.
+    def _holds(self, x: bytes, y: bytes, join: int = -1) -> bool:
+        """Whether no merge but number ``join`` ever crosses the border between tokens ``x`` and ``y`` standing side by side.
 
         Both tokens are taken apart from their last merge backwards, the later
         merge first; the parts that touch the border at that time must not have
-        a merge that would have come before.  The table of pairs keeps the answer.
+        a merge that would have come before.
         """
-        x, y, limit, got = self.token[a], self.token[b], 1 << 60, True
+        limit = 1 << 60
         while True:
             r = self.pairs.get((x, y))
-            if r is not None and r < limit:
-                got = False
-                break
+            if r is not None and r < limit and r != join:
+                return False
             rx, ry = self.rank.get(x, -1) if len(x) > 1 else -1, self.rank.get(y, -1) if len(y) > 1 else -1
             if rx < 0 and ry < 0:
-                break
+                return True
             # Equal merges are done from the left, so the left part's came first.
             if rx > ry:
                 limit, x = rx, self.parts[x][1]
             else:
                 limit, y = ry + 0.5, self.parts[y][0]
+
+    def _whole(self, t: bytes) -> bool:
+        """Whether the merges of the bytes of ``t`` lead to the single token ``t``."""
+        if len(t) == 1:
+            return True
+        if t not in self.rank:
+            return False
+        if t not in self.whole:
+            a, b = self.parts[t]
+            self.whole[t] = self._whole(a) and self._whole(b) and self._holds(a, b, self.rank[t])
+        return self.whole[t]
+
+    def _fits(self, a: int, b: int) -> bool:
+        """Whether token ``b`` may follow token ``a``; the table of pairs keeps the answer."""
         if len(self.fits) > 2 * MEMORY:
             self.fits.clear()
-        self.fits[a << 20 | b] = got
+        got = self.fits[a << 20 | b] = self._holds(self.token[a], self.token[b])
         return got
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -189,33 +208,6 @@ class Bpe:
                 raise ValueError("the vocabulary lacks some bytes")
         return out
 
-    def _whole(self, t: bytes) -> bool:
-        """Whether the merges of ``t`` alone lead to the single token ``t``."""
-        if t not in self.rank:
-            return False
-        a, b = self.parts[t]
-        key = (t, b"")
-        if key not in self.compatible:
-            x, y, limit, ok = a, b, self.rank[t], True
-            ok = (len(a) == 1 or self._whole(a)) and (len(b) == 1 or self._whole(b)) and self._border(a, b, limit)
-            self.compatible[key] = ok
-        return self.compatible[key]
-
-    def _border(self, a: bytes, b: bytes, first: int) -> bool:
-        """Whether the border of ``a`` and ``b`` stays whole until merge ``first`` joins them."""
-        x, y, limit = a, b, 1 << 60
-        while True:
-            r = self.pairs.get((x, y))
-            if r is not None and r < limit and not (x is a and y is b and r == first):
-                return False
-            rx, ry = self.rank.get(x, -1) if len(x) > 1 else -1, self.rank.get(y, -1) if len(y) > 1 else -1
-            if rx < 0 and ry < 0:
-                return True
-            if rx > ry:
-                limit, x = rx, self.parts[x][1]
-            else:
-                limit, y = ry + 0.5, self.parts[y][0]
-
     def _number(self, piece: str) -> int:
         k, (old, flat, start) = len(self.known), self.before
         j = dict.get(old, piece)
@@ -304,6 +296,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True,
                 cols += [pa.array(token_ids, pa.list_(pa.int32()))] * ids
                 cols += [pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())] * digests
                 yield pa.RecordBatch.from_arrays(cols, names)
+        # The worker may serve other stages next: the memory of this task goes.
+        bpe.forget()
+        rest()
 
     names = ["doc_id", "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
     kinds = ["long", "long", *["array<int>"] * ids, *["string", "string"] * digests]
