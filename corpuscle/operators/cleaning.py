@@ -127,6 +127,8 @@ def without_repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
 #: MinHash: shingle words, hashes, rows of a band, similarity; the prime of the hash family.
 SHINGLE, HASHES, ROWS, SIMILARITY, PRIME = 5, 32, 2, 0.75, 2147483647
+#: Members of a block of a band.
+BLOCK = 256
 
 
 def hash_family(n: int = HASHES) -> list[tuple[int, int]]:
@@ -140,10 +142,12 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def minhash_links(docs: DataFrame, unit: list[str] | None = None) -> DataFrame:
-    """``a``, ``b``, ``jaccard`` of verified near duplicates: each band's smallest id with the others of the band.
+    """``a``, ``b``, ``jaccard`` of verified near duplicates: all pairs ``a < b`` that share a band, among the first documents of equal texts.
 
-    Equal texts collapse first; a band's members meet its smallest one only, so a
-    band of any size costs its own number of rows, never its pairs.
+    Equal texts collapse first.  A band's members are dealt to blocks and every two
+    blocks meet in a group of their own, so no group has more than a few hundred
+    rows; pairs whose sizes allow the similarity are verified once.  The links of a
+    group of near copies are as many as its pairs.
     """
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     rows = rows.select("doc_id", shingle_hashes(F.col("text")).alias("h"))
@@ -152,9 +156,20 @@ def minhash_links(docs: DataFrame, unit: list[str] | None = None) -> DataFrame:
     mins = [F.min((F.col("x") * F.lit(a) + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(hash_family())]
     signed = rows.select("doc_id", F.explode("h").alias("x")).groupBy("doc_id").agg(*mins)
     values = F.array(*(F.concat_ws("_", *(f"m{i}" for i in range(k, k + ROWS))) for k in range(0, HASHES, ROWS)))
-    bands = signed.select("doc_id", F.posexplode(values).alias("band", "value")).select("doc_id", F.concat_ws(":", "band", "value").alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = with_groups(bands, hubs, "bucket", "n").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    sizes = rows.select("doc_id", F.size("h").alias("size"))
+    bands = signed.join(sizes, "doc_id").select("doc_id", "size", F.posexplode(values).alias("band", "value")).select("doc_id", "size", F.concat_ws(":", "band", "value").alias("bucket"))
+    bands = once(bands)
+    groups = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = with_groups(bands, groups, "bucket", "n").withColumn("mine", F.pmod(F.xxhash64("doc_id"), blocks))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = once(members.select("doc_id", "size", "bucket", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")))
+    x = met.select("bucket", "lo", "hi", F.col("mine").alias("i"), F.col("doc_id").alias("a"), F.col("size").alias("p"))
+    y = met.select("bucket", "lo", "hi", F.col("mine").alias("j"), F.col("doc_id").alias("b"), F.col("size").alias("q"))
+    # Sizes bound the similarity from above, so a pair that they rule out is no link.
+    near = F.least("p", "q") >= F.lit(SIMILARITY) * F.greatest("p", "q")
+    pairs = x.join(y, ["bucket", "lo", "hi"]).where((F.col("a") < F.col("b")) & ((F.col("lo") == F.col("hi")) | (F.col("i") != F.col("j"))) & near)
+    pairs = pairs.select("a", "b").distinct()
     sets = rows.select("doc_id", "h")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))

@@ -281,3 +281,20 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert tuple(spark.table("counted").first()) == ("en", 2, 3, 3)
+
+
+def test_minhash_compares_all_members_of_a_band(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[7 * i : 7 * i + 90]) for i in range(1, 31)}
+    sets = {i: set(one(spark, t, cleaning.shingle_hashes, "string")) for i, t in texts.items()}
+    bands = {}
+    for i, h in sets.items():
+        m = [min((x * a + b) % cleaning.PRIME for x in h) for a, b in cleaning.hash_family()]
+        bands[i] = [tuple(m[k : k + cleaning.ROWS]) for k in range(0, cleaning.HASHES, cleaning.ROWS)]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b): like(a, b) for a in sets for b in sets if a < b and like(a, b) >= cleaning.SIMILARITY and any(x == y for x, y in zip(bands[a], bands[b], strict=True))}
+    df = spark.createDataFrame([*texts.items(), (90, texts[1])], "doc_id long, text string")
+    for block in (256, 2):
+        monkeypatch.setattr(cleaning, "BLOCK", block)
+        got = cleaning.minhash_links(df).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
