@@ -4,9 +4,10 @@ A pretoken is a string of bracketed hex symbols, ``<74><68>``; a merge is a stri
 replacement.  A model is a DataFrame ``(rank, a, b, merged, n)`` of hex strings.
 
 Counting is distributed: texts become distinct pretokens with weighted counts.
-Few merges are trained as a chain of DataFrames (:func:`merge_tables`); many on the
-driver from the counted pretokens with counts kept up to date (:func:`train`),
-where ``max_words`` bounds what comes to the driver: the most frequent ones.
+Few merges are trained as a chain of DataFrames (:func:`merge_tables`).  Many are
+trained by :func:`train` from all counted pretokens: on the driver with counts kept
+up to date where there are ``max_words`` at most, else distributed, with several
+merges a pass (:func:`train_spread`); the merges are the same.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cleaning import once
 
 MODEL = "rank int, a string, b string, merged string, n long"
+#: Pairs that the driver sees in a distributed pass.
+TOP = 512
 
 
 def pretoken_counts(docs: DataFrame, weights: dict[str, int] | None = None, by: list[str] | None = None, whitespace: str = "space") -> DataFrame:
@@ -74,9 +78,55 @@ def merge_tables(words: DataFrame, merges: int) -> list[tuple[str, str, int]]:
 
 
 def train(words: DataFrame, vocab_size: int, min_count: int = 2, max_words: int = 2_000_000) -> list[tuple[str, str, int]]:
-    """Merges up to ``vocab_size`` (256 bytes included), by counts kept up to date on the driver."""
-    rows = with_symbols(words).orderBy(F.desc("freq"), "symbols").limit(max_words).select("symbols", "freq").toPandas()
-    return train_local([(s[1:-1].split("><"), f) for s, f in zip(rows["symbols"], rows["freq"], strict=True) if s], vocab_size - 256, min_count)
+    """Merges up to ``vocab_size`` (256 bytes included) from all words: on the driver up to ``max_words`` of them, else distributed."""
+    return train_symbols(with_symbols(words), vocab_size - 256, min_count, max_words)
+
+
+def train_symbols(words: DataFrame, merges: int, min_count: float = 2, max_words: int = 2_000_000) -> list[tuple[str, str, int]]:
+    """The merges of ``symbols`` and ``freq``."""
+    words = once(words.select("symbols", "freq"))
+    if words.count() > max_words:
+        return train_spread(words, merges, min_count)
+    rows = words.orderBy(F.desc("freq"), "symbols").toPandas()
+    return train_local([(s[1:-1].split("><"), f) for s, f in zip(rows["symbols"], rows["freq"], strict=True) if s], merges, min_count)
+
+
+def independent(top: list[tuple[str, str, float]], whole: bool, known: set[str]) -> list[tuple[str, str, float]]:
+    """The first pairs of ``top`` that training one by one would merge too, in the same order and with the same counts.
+
+    A pair keeps its count while no pair before it ends where it begins or begins
+    where it ends.  A new pair (x, ab) is at most as frequent as (x, a), one (ab, y)
+    as (b, y), so it comes later while none of these is as frequent as the pair in
+    question.  A pair of two equal symbols, or one whose result is a symbol already,
+    ends the pass.  Unless ``top`` is ``whole``, its last count may have more pairs.
+    """
+    out = []
+    for k, (a, b, n) in enumerate(top):
+        if out:
+            rivals = [x for x in top[k:] if x[2] >= n * (1 - 1e-9)]
+            if not whole and len(rivals) == len(top) - k or any(x[1] == c or x[0] == d for x in rivals for c, d, _ in out):
+                break
+        out.append((a, b, n))
+        if a == b or a + b in known:
+            break
+        known.add(a + b)
+    return out
+
+
+def train_spread(words: DataFrame, merges: int, min_count: float = 2) -> list[tuple[str, str, int]]:
+    """The same merges with every word kept distributed: a pass counts the pairs of all words, and makes the merges that are independent."""
+    cut = words.sparkSession.sparkContext.getCheckpointDir()
+    out, known = [], set()
+    while len(out) < merges:
+        top = pair_counts(words).where(F.col("n") >= min_count).orderBy(F.desc("n"), "a", "b").limit(TOP).collect()
+        if not top:
+            break
+        found = independent([tuple(r) for r in top], len(top) < TOP, known)[: merges - len(out)]
+        out += found
+        known |= {a + b for a, b, _ in found}
+        words = words.withColumn("symbols", reduce(lambda c, m: apply_merge(c, m[0], m[1]), found, F.col("symbols")))
+        words = words.checkpoint() if cut else words.localCheckpoint()
+    return out
 
 
 def train_local(words: list[tuple[list[str], float]], merges: int, min_count: float = 2) -> list[tuple[str, str, int]]:

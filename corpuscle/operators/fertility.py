@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from . import bpe
+from .cleaning import once
 
 #: Tokens per unit from which a language counts as expensive, and bounds of one re-balancing step.
 THRESHOLD, LOW, HIGH = 1.2, 0.6, 1.8
@@ -60,22 +61,35 @@ def rebalanced(rates: DataFrame, weights: dict[str, float], col: str = "fertilit
 def training_rounds(docs: DataFrame, vocab_size: int, rounds: int = 10, weights: dict[str, float] | None = None, max_words: int = 2_000_000) -> tuple[list[dict], dict]:
     """Train, measure and re-balance; the log of all rounds and the best one (first on ties, no spread beats any).
 
-    Pretokens are counted once by language; a round trains from these counts.
+    Pretokens are counted once by language; a round trains and measures from all of
+    these counts, on the driver where there are ``max_words`` at most, else distributed.
     """
     rounds = min(16, max(1, rounds))
-    counts = bpe.pretoken_counts(docs, by=["lang"]).orderBy(F.desc("freq"), "lang", "pretoken").limit(max_words).toPandas()
-    langs = sorted(x for x in counts["lang"].unique() if x is not None)
+    table = once(bpe.pretoken_counts(docs, by=["lang"]))
+    spread_out = table.count() > max_words
+    if spread_out:
+        langs = sorted(r["lang"] for r in table.select("lang").distinct().collect() if r["lang"] is not None)
+    else:
+        counts = table.orderBy(F.desc("freq"), "lang", "pretoken").toPandas()
+        langs = sorted(x for x in counts["lang"].unique() if x is not None)
     words = {r["lang"]: r["w"] for r in docs.groupBy("lang").agg(F.sum(T.word_count("text")).alias("w")).collect()}
     weights = {x: float((weights or {}).get(x, 1.0)) for x in langs}
     log, best = [], None
     for k in range(1, rounds + 1):
-        weighted = counts.assign(f=counts["freq"] * counts["lang"].map(weights).fillna(1.0)).groupby("pretoken", sort=True)["f"].sum()
-        merges = bpe.train_local([([f"{b:02X}" for b in p.encode()], f) for p, f in weighted.items()], vocab_size - 256)
-        rank = {}
-        for i, (a, b, _) in enumerate(merges):
-            rank.setdefault((a, b), i)
-        n = {p: len(bpe.encode_word([f"{b:02X}" for b in p.encode()], rank)) for p in weighted.index}
-        tokens = (counts["freq"] * counts["pretoken"].map(n)).groupby(counts["lang"]).sum()
+        if spread_out:
+            weight = F.coalesce(*(F.when(F.col("lang") == x, F.lit(w)) for x, w in weights.items()), F.lit(1.0))
+            words_ = once(table.groupBy("pretoken").agg(F.sum(F.col("freq") * weight).alias("freq")))
+            merges = bpe.train_spread(bpe.with_symbols(words_).select("symbols", "freq"), vocab_size - 256)
+            known = bpe.encoded_pretokens(words_, merges).select("pretoken", F.size("tokens").alias("n"))
+            tokens = {r["lang"]: r["t"] for r in table.join(known, "pretoken").groupBy("lang").agg(F.sum(F.col("freq") * F.col("n")).alias("t")).collect()}
+        else:
+            weighted = counts.assign(f=counts["freq"] * counts["lang"].map(weights).fillna(1.0)).groupby("pretoken", sort=True)["f"].sum()
+            merges = bpe.train_local([([f"{b:02X}" for b in p.encode()], f) for p, f in weighted.items()], vocab_size - 256)
+            rank = {}
+            for i, (a, b, _) in enumerate(merges):
+                rank.setdefault((a, b), i)
+            n = {p: len(bpe.encode_word([f"{b:02X}" for b in p.encode()], rank)) for p in weighted.index}
+            tokens = (counts["freq"] * counts["pretoken"].map(n)).groupby(counts["lang"]).sum()
         rate = {x: (float(tokens[x]) / words[x] if words.get(x) else None) for x in langs}
         known = [v for v in rate.values() if v is not None]
         spread = max(known) - min(known) if known else None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import udfs
 from . import bpe
+from .cleaning import once
 
 #: Fixed value: least number of characters that the alphabet may have.
 ALPHABET = 2000
@@ -27,12 +28,19 @@ def piece_counts(docs: DataFrame, weights: dict[str, int] | None = None, form: s
 
 
 def train(docs: DataFrame, vocab_size: int = 10000, weights: dict[str, int] | None = None, max_words: int = 2_000_000) -> tuple[list[str], list[tuple[str, str, int]]]:
-    """Vocabulary and merges: the characters by code point, then merged pieces; single occurrences merge too."""
-    counts = piece_counts(docs, weights).orderBy(F.desc("freq"), "piece").limit(max_words).toPandas()
-    chars = sorted({c for p in counts["piece"] for c in p})
+    """Vocabulary and merges: the characters by code point, then merged pieces; single occurrences merge too.
+
+    Characters train as hex of UTF-8, whose order is that of code points.
+    """
+    counts = once(piece_counts(docs, weights))
+    chars = [r["ch"] for r in counts.select(F.explode(F.split("piece", "")).alias("ch")).where("ch <> ''").distinct().collect()]
+    chars = sorted(chars)
     limit = max(len(chars) + 100, ALPHABET)
     vocab = chars[:limit]
-    merges = bpe.train_local([(list(p), int(f)) for p, f in zip(counts["piece"], counts["freq"], strict=True)], vocab_size - len(vocab), 1)
+    hexed = F.transform(F.filter(F.split("piece", ""), lambda c: c != ""), lambda c: F.hex(F.encode(c, "UTF-8")))
+    words = counts.select(F.concat(F.lit("<"), F.array_join(hexed, "><"), F.lit(">")).alias("symbols"), "freq")
+    text = lambda x: bytes.fromhex(x).decode()
+    merges = [(text(a), text(b), n) for a, b, n in bpe.train_symbols(words, vocab_size - len(vocab), 1, max_words)]
     return list(dict.fromkeys(vocab + [a + b for a, b, _ in merges])), merges
 
 

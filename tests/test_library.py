@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
 from corpuscle.functions import udfs
-from corpuscle.operators import bpe, cleaning, fertility, mixture
+from corpuscle.operators import bpe, cleaning, fertility, mixture, pieces
 from corpuscle.sources import corpora, sinks
 from corpuscle.streaming import counts
 
@@ -298,3 +298,18 @@ def test_minhash_compares_all_members_of_a_band(spark, monkeypatch):
         monkeypatch.setattr(cleaning, "BLOCK", block)
         got = cleaning.minhash_links(df).collect()
         assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
+
+
+def test_training_keeps_all_words_beyond_the_drivers_bound(spark, monkeypatch):
+    r = random.Random(5)
+    names = ["".join(r.choice("abcaé") for _ in range(r.randint(1, 7))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(names) for _ in range(60)), r.choice(["en", "fr", None])) for i in range(12)], "doc_id long, text string, lang string")
+    words = bpe.pretoken_counts(docs)
+    want = bpe.train(words, 256 + 40)
+    for top in (512, 3):
+        monkeypatch.setattr(bpe, "TOP", top)
+        assert bpe.train(words, 256 + 40, max_words=5) == want
+    assert pieces.train(docs, 2040, max_words=5) == pieces.train(docs, 2040)
+    few, whole = fertility.training_rounds(docs, 256 + 10, 2, max_words=5), fertility.training_rounds(docs, 256 + 10, 2)
+    assert [x["round"] for x in few[0]] == [1, 2] and few[1]["fertility"] == whole[1]["fertility"]
+    assert [m[:2] for m in few[1]["merges"]] == [m[:2] for m in whole[1]["merges"]]
