@@ -7,10 +7,9 @@ block ``i`` (from 1) is released at slot ``floor((i - 1) / w)`` and due by slot
 next (ties by source).  At every moment each source has had less than one block
 more or less than its weight times the time.
 
-Weights are whole parts of ``PARTS``.  The schedule then repeats itself after
-``PARTS`` slots, when every source is exactly even, so one period is scheduled
-with a heap and every other block follows by arithmetic: no pass over the
-blocks is sequential.
+Weights are exact rationals (the given floats as they are), kept as whole parts of
+a common total, so releases and deadlines have no rounding and the bound holds
+against the targets themselves, however many sources and slots there are.
 
 When a source runs out of blocks, a *phase* ends: the weights of the others are
 scaled up to one and the next phase begins, each source going on with its next
@@ -18,8 +17,9 @@ block.  So every document is in the mixture exactly once (``until="all"``); with
 ``until="first"`` the mixture ends with the first phase, where the targets hold
 throughout.
 
-Scale.  The driver sees one count a source and one period a phase (the number of
-sources times ``PARTS`` rows, whatever the data).  Documents get their place in
+Scale.  The driver sees one count a source and schedules blocks, not documents,
+with a heap: 32 bytes and a label a block of 16 documents (about 100 MB and the labels
+for 46 million documents).  Documents get their place in
 their source by counting in buckets of the shuffle's hash and adding up bucket
 counts, in two levels; no source's rows ever meet in one task.
 
@@ -34,14 +34,18 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, packed, table, unpacked
 
-#: Whole parts of a weight: the length of a period in slots.
-PARTS = 1000
+#: Slots of the schedule up to which it is broadcast.
+SMALL = 200_000
 #: Documents of a block.
 BLOCK = 16
 #: Documents of a bucket of the shuffle, and buckets of an upper bucket.
@@ -50,55 +54,47 @@ BUCKET, UPPER = 384, 256
 ALPHA = 0.5
 
 
-def whole_parts(weights: dict, parts: int = PARTS) -> dict:
-    """Weights as whole parts (1 at least) that sum to ``parts``, or to more where there are more sources."""
-    total = sum(weights.values())
-    parts = max(parts, len(weights))
-    exact = {s: w / total * parts for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(out, key=lambda s: (out[s] - exact[s], s))
-    while sum(out.values()) < parts:
-        for s in order[: parts - sum(out.values())]:
-            out[s] += 1
-    while sum(out.values()) > parts:
-        s = max((s for s in out if out[s] > 1), key=lambda s: (out[s] - exact[s], out[s], s))
-        out[s] -= 1
-    return out
+def whole_parts(weights: dict) -> dict:
+    """Weights as whole parts in exactly their proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: n // common for s, n in out.items()}
 
 
-def period(parts: dict) -> list:
-    """The source of each slot of one period, by earliest deadline among the released blocks."""
+def schedule(parts: dict, left: dict) -> tuple[list, array, array]:
+    """The source, release and deadline of each slot, by earliest deadline among the released blocks, until a source is used up."""
     total = sum(parts.values())
-    waiting, ready, out = [(0, s, 1) for s in sorted(parts)], [], []
-    heapq.heapify(waiting)
-    for t in range(total):
-        while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-i * total // parts[s]), s, i))
-        _, s, i = heapq.heappop(ready)
+    waiting, ready = [(0, s, 1) for s in sorted(parts)], []
+    out, releases, deadlines = [], array("q"), array("q")
+    while True:
+        while waiting and waiting[0][0] <= len(out):
+            r, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-i * total // parts[s]), s, i, r))
+        d, s, i, r = heapq.heappop(ready)
         out.append(s)
-        if i < parts[s]:
-            heapq.heappush(waiting, (i * total // parts[s], s, i + 1))
-    return out
+        releases.append(r)
+        deadlines.append(d)
+        if i == left[s]:
+            return out, releases, deadlines
+        heapq.heappush(waiting, (i * total // parts[s], s, i + 1))
 
 
 def phases(counts: dict, weights: dict, until: str = "all") -> list[dict]:
-    """Phases until the sources' blocks are used up: weights, the first slot, and each source's first and last block."""
+    """Phases until the sources' blocks are used up: weights, the first slot, each source's first block, and its slots."""
     left = {s: n for s, n in counts.items() if n}
     done = dict.fromkeys(left, 0)
     out, slot = [], 0
     while left:
         parts = whole_parts({s: weights[s] for s in left})
-        total, order = sum(parts.values()), period(parts)
-        places = {s: [] for s in parts}
+        order, releases, deadlines = schedule(parts, left)
+        places = {s: array("q") for s in parts}
         for t, s in enumerate(order):
             places[s].append(t)
-        # The phase ends with the slot that uses up a source.
-        ends = {s: (n - 1) // parts[s] * total + places[s][(n - 1) % parts[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        used = {s: length // total * parts[s] + sum(t < length % total for t in places[s]) for s in parts}
-        out.append({"parts": parts, "total": total, "places": places, "slot": slot, "length": length, "first": {s: done[s] for s in parts}, "used": used})
-        slot += length
+        used = {s: len(x) for s, x in places.items()}
+        out.append({"parts": parts, "total": sum(parts.values()), "places": places, "releases": releases, "deadlines": deadlines, "slot": slot, "length": len(order), "first": {s: done[s] for s in parts}, "used": used})
+        slot += len(order)
         for s, n in used.items():
             done[s] += n
             left[s] -= n
@@ -108,6 +104,31 @@ def phases(counts: dict, weights: dict, until: str = "all") -> list[dict]:
     return out
 
 
+def slots_table(plan: list[dict]) -> pa.Table:
+    """A row a block: ``s``, ``b``, ``phase``, ``weight``, ``release``, ``deadline``, ``slot``."""
+    parts = []
+    for k, p in enumerate(plan):
+        releases, deadlines = np.asarray(p["releases"]) + p["slot"], np.asarray(p["deadlines"]) + p["slot"]
+        for s, places in p["places"].items():
+            if not len(places):
+                continue
+            at, n = np.asarray(places), len(places)
+            parts.append(
+                pa.table(
+                    {
+                        "s": pa.repeat(pa.scalar(s[1] if s[0] else None, pa.string()), n),
+                        "b": np.arange(p["first"][s], p["first"][s] + n, dtype=np.int64),
+                        "phase": np.full(n, k, np.int32),
+                        "weight": np.full(n, p["parts"][s] / p["total"]),
+                        "release": releases[at],
+                        "deadline": deadlines[at],
+                        "slot": at + p["slot"],
+                    }
+                )
+            )
+    return pa.concat_tables(parts).combine_chunks()
+
+
 def ordinals(docs: DataFrame, n: int, seed: int) -> DataFrame:
     """``doc_id``, ``source`` and ``ordinal`` (from 0) in the source's shuffle order."""
     buckets = max(1, -(-n // BUCKET))
@@ -146,32 +167,12 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, until:
     least = min(weights.values())
     target = {key(s): weights.get(s, least) for s in sizes}
     plan = phases({key(s): -(-n // block) for s, n in sizes.items()}, target, until)
-    spans, slots = [], []
-    for k, p in enumerate(plan):
-        for s, parts in p["parts"].items():
-            spans.append((s[1] if s[0] else None, k, p["first"][s], p["first"][s] + p["used"][s], p["slot"], parts, p["total"]))
-            slots += [(s[1] if s[0] else None, k, j, t) for j, t in enumerate(p["places"][s])]
-    spans = spark.createDataFrame(spans, "s string, phase int, lo long, hi long, begin long, parts long, total long")
-    slots = spark.createDataFrame(slots, "s2 string, p2 int, j long, place long")
     rows = ordinals(docs, sum(sizes.values()), seed).withColumn("block", F.floor(F.col("ordinal") / block))
-    # Both tables have a size that the number of sources bounds, not the data.
-    small = F.broadcast if len(plan) * PARTS <= 1_000_000 else lambda x: x
-    rows = rows.join(small(spans), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))).drop("s")
-    i = F.col("block") - F.col("lo")
-    rows = rows.withColumn("i", i).withColumn("at", F.pmod("i", "parts"))
-    rows = rows.join(small(slots), F.col("source").eqNullSafe(F.col("s2")) & (F.col("phase") == F.col("p2")) & (F.col("at") == F.col("j")))
-    per = F.expr("i div parts")
-    return rows.select(
-        "doc_id",
-        "source",
-        "phase",
-        (F.col("parts") / F.col("total")).alias("weight"),
-        "block",
-        (F.col("begin") + F.expr("i * total div parts")).alias("release"),
-        (F.col("begin") + F.expr("((i + 1) * total + parts - 1) div parts")).alias("deadline"),
-        (F.col("begin") + per * F.col("total") + F.col("place")).alias("slot"),
-        F.pmod("ordinal", F.lit(block)).cast("int").alias("position"),
-    )
+    slots = spark.createDataFrame(slots_table(plan))
+    # The schedule grows with the blocks: a small one is broadcast, others meet the rows by a shuffle, a block's documents a key.
+    slots = F.broadcast(slots) if sum(p["length"] for p in plan) <= SMALL else slots
+    rows = rows.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return rows.select("doc_id", "source", "phase", "weight", "block", "release", "deadline", "slot", F.pmod("ordinal", F.lit(block)).cast("int").alias("position"))
 
 
 def mixed_documents(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 29) -> DataFrame:

@@ -94,3 +94,24 @@ def test_every_query_runs(spark, sf_small):
     for name in ("op1_pfair_mix", "op2_nearest", "op9_embedding_dedup"):
         assert llm_queries()[name](spark, sf_small).count() > 0
     assert prose(1, 3)
+
+
+def test_targets_hold_unrounded():
+    many = {f"s{i:04d}": 1.0 for i in range(1200)} | {"big": 600.0}
+    long = {"a": 2**0.5, "b": 3**0.5, "c": 0.0007}
+    for weights, counts in ((many, {s: 700 if s == "big" else 3 for s in many}), (long, {"a": 30000, "b": 36000, "c": 100})):
+        whole = sum(map(Fraction, weights.values()))
+        plan = pfair_mix.phases(counts, weights, "first")[0]
+        assert plan["length"] > 1800
+        for s, w in weights.items():
+            w = Fraction(w) / whole
+            # A source is furthest ahead just after a block and furthest behind just before one.
+            assert abs(w * plan["length"] - plan["used"][s]) < 1
+            assert all(abs(w * t - i) < 1 and abs(w * (t + 1) - i - 1) < 1 for i, t in enumerate(plan["places"][s]))
+
+
+def test_more_than_a_thousand_sources(spark):
+    df = spark.createDataFrame([(i, "big" if i % 3 == 0 else f"s{i % 1100}") for i in range(3600)], "doc_id long, source string")
+    got = pfair_mix.mix(df, {"big": 1200.0} | {f"s{i}": 1.0 for i in range(1100)}, block=1, until="first").collect()
+    big = sum(r.source == "big" for r in got)
+    assert got and abs(big - len(got) * 1200 / 2300) < 1 and len({(r.source, r.block) for r in got}) == len(got)
