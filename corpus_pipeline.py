@@ -37,8 +37,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` and the hashes of ids and decoded text."""
-    return bpe_backtrack.encode_documents(docs, ids=True, digests=True)
+    """``doc_id``, ``n_tokens``, ``ids``, the hashes of ids and decoded text, and ``mix_slot`` and ``mix_position``.
+
+    Files don't keep the order of rows, so the place in the mixture, which the ids
+    and sources determine, becomes columns here and orders the output.
+    """
+    return pfair_mix.with_places(bpe_backtrack.encode_documents(docs, ids=True, digests=True), docs)
 
 
 STAGES = [

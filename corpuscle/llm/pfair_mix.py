@@ -175,17 +175,29 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, until:
     return rows.select("doc_id", "source", "phase", "weight", "block", "release", "deadline", "slot", F.pmod("ordinal", F.lit(block)).cast("int").alias("position"))
 
 
+def places(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 29) -> DataFrame:
+    """``mix_id``, ``mix_slot``, ``mix_position``: each doc_id's (first) place in the mixture; the same for the same ids and sources in any order."""
+    plan = mix(docs, weights, block, "all", seed).groupBy(F.col("doc_id").alias("mix_id")).agg(F.min(F.struct("slot", "position")).alias("p"))
+    return plan.select("mix_id", F.col("p.slot").alias("mix_slot"), F.col("p.position").alias("mix_position"))
+
+
 def mixed_documents(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, seed: int = 29) -> DataFrame:
     """The documents in the mixture's order, with their columns: range by range of slots, and sorted within.
 
     Rows without a doc_id come last.
     """
-    plan = mix(docs, weights, block, "all", seed).select(F.col("doc_id").alias("mix_id"), (F.col("slot") * block + F.col("position")).alias("mix_at"))
-    plan = plan.dropDuplicates(["mix_id"])
+    plan = places(docs, weights, block, seed).select("mix_id", (F.col("mix_slot") * block + F.col("mix_position")).alias("mix_at"))
     rows = packed(docs).join(plan, F.col("row.doc_id") == F.col("mix_id"), "left")
     rows = rows.select("row", F.coalesce("mix_at", F.lit(1 << 62)).alias("at"), F.col("row.doc_id").alias("id"))
     return unpacked(rows.repartitionByRange("at", "id").sortWithinPartitions("at", "id"), docs.columns)
 
 
+def with_places(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (by ``doc_id``) with ``mix_slot`` and ``mix_position`` in the mixture of ``docs``, in its order; null, and last, without a doc_id."""
+    rows = rows.join(places(docs), F.col("doc_id") == F.col("mix_id"), "left").drop("mix_id")
+    order = [F.col("mix_slot").asc_nulls_last(), F.col("mix_position").asc_nulls_last(), F.col("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

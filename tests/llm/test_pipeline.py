@@ -115,3 +115,18 @@ def test_more_than_a_thousand_sources(spark):
     got = pfair_mix.mix(df, {"big": 1200.0} | {f"s{i}": 1.0 for i in range(1100)}, block=1, until="first").collect()
     big = sum(r.source == "big" for r in got)
     assert got and abs(big - len(got) * 1200 / 2300) < 1 and len({(r.source, r.block) for r in got}) == len(got)
+
+
+def test_run_returns_the_mixture(spark, sf_small):
+    key = lambda s: (s is not None, s or "")
+    got = corpus_pipeline.run(spark, sf_small).select("doc_id", "mix_slot", "mix_position")
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").selectExpr("doc_id", "source", "xxhash64(29, doc_id) h")
+    by = {}
+    for r in got.join(docs, "doc_id").collect():
+        by.setdefault(key(r.source), []).append(((r.h % (1 << 64)) >> 33, r.h, r.doc_id, (r.mix_slot, r.mix_position)))
+    counts = {s: -(-len(x) // pfair_mix.BLOCK) for s, x in by.items()}
+    slots = {block: t for t, block in enumerate(simulate(counts, {s: len(x) ** pfair_mix.ALPHA for s, x in by.items()}))}
+    for s, x in by.items():
+        for i, (*_, at) in enumerate(sorted(x)):
+            assert at == (slots[s, i // pfair_mix.BLOCK], i % pfair_mix.BLOCK)
+    assert sum(map(len, by.values())) == got.count() > 0
