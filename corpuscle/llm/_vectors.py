@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def width(df: DataFrame, col: str = "embedding") -> int:
-    """The usual number of components (0 in a table without vectors)."""
-    row = df.where(F.size(col) > 0).groupBy(F.size(col).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).first()
-    return row["d"] if row else 0
+def widths(df: DataFrame, col: str = "embedding") -> list[int]:
+    """The numbers of components that stand in the table, empty vectors left out; vectors of one width form a space of their own."""
+    return sorted(r["d"] for r in df.where(F.size(col) > 0).select(F.size(col).alias("d")).distinct().collect())
 
 
 def usable(dim: int, col: str = "embedding") -> Column:
     """True for vectors of ``dim`` finite components that aren't all zero."""
+    return F.coalesce((F.size(col) == dim) & usable_at_all(col), F.lit(False))
+
+
+def usable_at_all(col: str = "embedding") -> Column:
+    """True for vectors of any width with finite components that aren't all zero."""
     finite = F.forall(F.col(col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(col) == dim) & finite & F.exists(F.col(col), lambda x: x != 0), F.lit(False))
+    return F.coalesce(finite & F.exists(F.col(col), lambda x: x != 0), F.lit(False))
 
 
 def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:

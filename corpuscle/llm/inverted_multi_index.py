@@ -18,10 +18,11 @@ number of links there and its root in the unit's spanning forest, never pairs.
 Skew.  Equal vectors become one with a weight first.  A cell's members and visitors
 are dealt out in blocks, so a hot cell becomes many units of bounded size.
 
-Results for odd input: vectors that are null, zero, of unusual width or hold a
-null, NaN or infinite component link with nothing and are kept; rows without a
-vec_id are left out, having no identity; an empty table gives an empty table;
-other columns are ignored.
+Results for odd input: vectors that are null, zero or hold a null, NaN or infinite
+component link with nothing and are kept; vectors of another width are a space of
+their own; rows that repeat a vec_id are vectors of their own (equal ones link) and
+each gets its row; rows without a vec_id are left out, having no identity; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._graph import Forest, components
 from ._spark import cut, table
-from ._vectors import matrix, sample, usable, width
+from ._vectors import matrix, sample, usable, usable_at_all, widths
 
 #: Rows that the codebooks are fitted on, at most.
 SAMPLE = 8192
@@ -111,8 +112,8 @@ def _unit_length(x: np.ndarray) -> np.ndarray:
 
 
 def links(reps: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
-    """``node``, ``n`` and ``root`` rows of all units; ``reps`` has ``rep``, ``weight`` and ``embedding``."""
-    x = _unit_length(sample(reps, "rep", dim, SAMPLE))
+    """``node``, ``n`` and ``root`` rows of all units; ``reps`` has ``rep``, ``first_id``, ``weight`` and ``embedding``."""
+    x = _unit_length(sample(reps, "first_id", dim, SAMPLE))
     grid = Grid(x, max(2, math.ceil(math.sqrt(n / CELL))))
     n_visits = grid.learn_visits(x, cosine, RECALL)
     del x
@@ -124,14 +125,14 @@ def links(reps: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
 
     placed = cut(reps.select("rep", "weight", "embedding").mapInArrow(place, "rep long, weight long, embedding array<float>, visits array<long>"))
     members = placed.withColumn("cell", F.col("visits")[0])
-    visitors = placed.select("rep", "weight", "embedding", F.explode("visits").alias("cell"))
+    visitors = placed.select("rep", "weight", "embedding", F.col("visits")[0].alias("home"), F.explode("visits").alias("cell"))
     sizes = members.groupBy("cell").count().select("cell", F.col("count").alias("m"), F.lit(0).alias("v")).unionByName(visitors.groupBy("cell").count().select("cell", F.lit(0).alias("m"), F.col("count").alias("v")))
     sizes = cut(sizes.groupBy(F.col("cell").alias("c")).agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / MEMBERS)).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil(F.sum("v") / VISITORS)).cast("int").alias("vb")))
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("rep")), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = F.col("cell") == F.col("c")
-    left = visitors.join(sizes, at).select(F.lit(0).alias("side"), "rep", "weight", "embedding", F.lit(None).cast("array<long>").alias("visits"), "cell", block(1, F.col("vb")).alias("v"), every("mb").alias("m"))
-    right = members.join(sizes, at).select(F.lit(1).alias("side"), "rep", "weight", "embedding", "visits", "cell", block(2, F.col("mb")).alias("m"), every("vb").alias("v"))
+    left = visitors.join(sizes, at).select(F.lit(0).alias("side"), "rep", "weight", "embedding", "home", F.lit(None).cast("array<long>").alias("visits"), "cell", block(1, F.col("vb")).alias("v"), every("mb").alias("m"))
+    right = members.join(sizes, at).select(F.lit(1).alias("side"), "rep", "weight", "embedding", F.col("cell").alias("home"), "visits", "cell", block(2, F.col("mb")).alias("m"), every("vb").alias("v"))
 
     def unit(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
@@ -150,8 +151,8 @@ def links(reps: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
         exact = np.concatenate([(u * w).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((w * w).sum(1))) for lo in range(0, len(a), 65536) for u, w in [(raw_q[a[lo : lo + 65536]], raw_s[b[lo : lo + 65536]])]])
         # The pair is also found the other way round if the member visits the visitor's cell.
         visits = matrix(s["visits"], len(s["visits"][0])).astype(np.int64)
-        own = grid.visits(qx[np.unique(a)], 1)[:, 0]
-        back = (visits[b] == own[np.searchsorted(np.unique(a), a)][:, None]).any(1)
+        home = q["home"].to_numpy()
+        back = np.concatenate([(visits[b[lo : lo + 65536]] == home[a[lo : lo + 65536], None]).any(1) for lo in range(0, len(a), 65536)])
         keep = (exact >= cosine) & ((qi[a] < si[b]) | ~back)
         a, b = a[keep], b[keep]
         ids, inv = np.unique(np.concatenate((qi[a], si[b])), return_inverse=True)
@@ -165,36 +166,41 @@ def links(reps: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
     return left.unionByName(right).groupBy("cell", "v", "m").applyInArrow(unit, "node long, n long, root long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
-    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every vector."""
-    rows = vectors.where("vec_id is not null").select("vec_id", "embedding")
-    lone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = width(rows)
-    if dim < 2:
-        return lone(rows)
-    good = usable(dim)
-    reps = cut(rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    n = reps.count()
-    if not n:
-        return lone(rows)
-    found = cut(links(reps, dim, cosine, n))
+def _of_width(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of usable vectors of one width."""
+    if dim == 1:
+        # A zero beside the only component changes no cosine and gives the second half something to hold.
+        rows, dim = rows.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0).cast("float")))), 2
+    # A repeated vec_id may stand for several vectors, so distinct vectors get numbers of their own.
+    reps = rows.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    found = cut(links(reps, dim, cosine, reps.count()))
     total = found.groupBy("node").agg(F.sum("n").alias("n"))
     label = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = total.join(label.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("node", "n", F.coalesce("label", "node").alias("label"))
-    reps = cut(reps.join(named, F.col("rep") == F.col("node"), "left").select(F.col("embedding").alias("e"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("label", "rep").alias("label")))
-    linked = rows.where(good).join(reps, F.col("embedding") == F.col("e")).select("vec_id", F.col("n").alias("n_links"), F.col("label").alias("component_id"), (F.col("vec_id") == F.col("label")).alias("kept"))
-    return linked.unionByName(lone(rows.where(~good)))
+    reps = cut(reps.join(named, F.col("rep") == F.col("node"), "left").select(F.col("embedding").alias("e"), "first_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("label", "rep").alias("label")))
+    least = cut(reps.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("component_id")))
+    reps = cut(reps.join(least, F.col("label") == F.col("l")).select("e", "n", "component_id"))
+    return rows.join(reps, F.col("embedding") == F.col("e")).select("vec_id", F.col("n").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
+    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every vector."""
+    rows = vectors.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    out = rows.where(~usable_at_all()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in widths(rows.where(usable_at_all())):
+        out = out.unionByName(_of_width(rows.where(usable(dim)), dim, cosine))
+    return out
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-#: The same by all pairs, and the closure of the links; for small tables.
+#: The same by all pairs of one width, and the closure of the links; for small tables.
 ORACLE_SQL = """
-with recursive d as (select len(embedding) d from embeddings group by 1 order by count(*) desc, 1 desc limit 1),
-v as (select vec_id, embedding::double[] x from embeddings, d where vec_id is not null and len(embedding) = d and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
-l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.9),
+with recursive v as (select vec_id, embedding::double[] x from embeddings where vec_id is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from v a join v b on len(a.x) = len(b.x) and a.vec_id <> b.vec_id and case when len(a.x) = len(b.x) then list_cosine_similarity(a.x, b.x) else 0 end >= 0.9),
 r(vec_id, other) as (select vec_id, vec_id from embeddings where vec_id is not null union select r.vec_id, l.b from r join l on r.other = l.a),
 k as (select vec_id, min(other) component_id from r group by vec_id)
 select k.vec_id, (select count(*) from l where l.a = k.vec_id)::bigint n_links, component_id, k.vec_id = component_id kept from k"""

@@ -89,11 +89,52 @@ def test_few_vectors_and_none(spark):
     assert sorted((r.vec_id, r.component_id) for r in inverted_multi_index.near_duplicates(few).collect()) == [(0, 0), (1, 0), (2, 0), (20, 20)]
 
 
-def test_pigeonhole_finds_all_codes_within_the_radius():
+def test_probing_alone_finds_all_codes_within_the_radius():
     r = np.random.default_rng(2)
-    codes, queries = r.random((300, 32)) < 0.5, r.random((9, 32)) < 0.5
-    index = multi_index_hash.MultiIndex(codes, 8)
-    d = (codes[None] != queries[:, None]).sum(2)
-    for radius in (0, 3, 7, 11, 16):
-        assert (index.within(queries, radius) == (d <= radius)).all()
-    assert (index.search(queries, 2, 10).sum(1) >= 10).all()
+    codes = r.integers(0, 1 << 16, (400, multi_index_hash.TABLES)).astype("<u2")
+    flip = r.random((60, multi_index_hash.BITS)) < r.random((60, 1)) * 0.35
+    queries = codes[:60] ^ np.packbits(flip, axis=1, bitorder="little").view("<u2")
+    for radius in (0, 3, 9, 30, 52):
+        for high_bits in (0, 3):
+            low_bits, got = 16 - high_bits, [set() for _ in queries]
+            gathered = 0
+            for j, far in enumerate(multi_index_hash.radii(radius)):
+                near = multi_index_hash.masks(16, far)
+                for start in range(0, 1 << 16, 1 << low_bits):
+                    rows = np.flatnonzero(codes[:, j] >> low_bits == start >> low_bits)
+                    buckets = multi_index_hash.Buckets(codes[rows, j], start, low_bits)
+                    for k, q in enumerate(queries):
+                        gathered += len(buckets.probe(int(q[j]), near))
+                        got[k] |= set(rows[multi_index_hash.within(buckets, codes[rows], q, j, near, radius)].tolist())
+            want = [set(np.flatnonzero(multi_index_hash.distances(codes, q[None]) <= radius).tolist()) for q in queries]
+            assert got == want
+            assert radius > 9 or gathered < 0.2 * 400 * 60 * multi_index_hash.TABLES
+
+
+def test_nearest_with_ranges_blocks_and_few_lists(spark, vectors, monkeypatch):
+    x, _ = vectors
+    whole = multi_index_hash.nearest(table(spark, x), F.col("vec_id") % 20 == 0, 20).collect()
+    for name, value in (("MEMBERS", 40), ("QUERIES", 8), ("LISTS", 64)):
+        monkeypatch.setattr(multi_index_hash, name, value)
+    again = multi_index_hash.nearest(table(spark, x), F.col("vec_id") % 20 == 0, 20).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in whole}
+
+
+def test_repeated_ids_and_other_widths(spark):
+    r = np.random.default_rng(8)
+    x = [(i, r.normal(size=8).round(3).tolist()) for i in range(60)]
+    more = [x[0], x[0], (7, x[7][1]), (101, [1.0, 2.0, 3.0]), (120, [1.0, 2.0, 3.0]), (140, [3.0]), (141, [-2.0]), (142, [6.0]), (160, None), (180, [0.0])]
+    got = multi_index_hash.nearest(table(spark, x + more), F.col("vec_id") % 20 == 0, 20).collect()
+    by = {}
+    for row in got:
+        by.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    assert set(by) == {0, 20, 40, 120, 140}
+    for q in (0, 20, 40):
+        assert sorted(k for k, _ in by[q]) == list(range(1, 21)) and len({i for _, i in by[q]}) == 20
+    assert by[120] == [(1, 101)] and sorted(by[140]) == [(1, 142), (2, 141)]
+    near = sorted((row.vec_id, row.n_links, row.component_id) for row in inverted_multi_index.near_duplicates(table(spark, x + more)).collect())
+    assert [v for v in near if v[0] == 0] == [(0, 2, 0)] * 3 and [v for v in near if v[0] == 7] == [(7, 1, 7)] * 2
+    assert near[-7:] == [(101, 1, 101), (120, 1, 101), (140, 1, 140), (141, 0, 141), (142, 1, 140), (160, 0, 160), (180, 0, 180)]
+    # One id with two texts' vectors: each is linked with what is like it.
+    both = table(spark, [(3, [1.0, 0.0]), (3, [0.0, 1.0]), (9, [0.0, 2.0]), (12, [2.0, 0.01])])
+    assert sorted((v.vec_id, v.n_links, v.component_id) for v in inverted_multi_index.near_duplicates(both).collect()) == [(3, 1, 3), (3, 1, 3), (9, 1, 3), (12, 1, 3)]
