@@ -7,27 +7,34 @@ with a smaller id.
    the one with the least hash.  Equal windows name equal strings at equal places,
    so only windows whose anchor stands in two different texts can repeat.  Anchors
    (about one in sixteen bytes) meet in buckets; those of one text only drop out.
-2. *Contexts.*  For the anchors that are left, the bytes around each occurrence that
-   its windows cover go to the anchor's bucket, equal contexts of a chunk once.
-3. *Merging.*  The distinct contexts of a bucket are cut into shards.  Each shard's
-   suffixes are sorted and give its transform.  Two transforms are merged by
-   refining an interleave: one stable pass by symbol sorts it by one more symbol,
-   and the borders between different prefixes are carried along.  After
-   ``LENGTH`` passes the intervals without a border are the repeated strings (the
-   common prefixes are that long); no suffix is sorted again.  Each interval's
-   smallest document id decides.
-4. *Removal.*  Windows found go back to their documents as bit masks.
+   Anchors choose what travels; they decide nothing.
+2. *Strings.*  The bytes around each occurrence of the anchors that are left, as far
+   as its windows reach, go to the anchor's bucket, equal strings of a chunk once.
+3. *Merging.*  A bucket's distinct strings are cut into shards.  Each shard's suffixes
+   are sorted and give its transform.  All transforms are merged at once by refining
+   an interleave: one stable pass by symbol sorts it by more symbols, and the borders
+   between different prefixes are carried along.  After ``LENGTH`` symbols the
+   intervals without a border are the repeated strings (the common prefixes are that
+   long); no suffix is sorted again.  Each interval's smallest document id decides
+   about every window in it, and nothing else does.
+4. *Removal.*  Windows found go back to their texts as bit masks.
 
 A transform of the whole corpus would be one sequential object; cutting it by anchor
 keeps shards bounded and loses nothing, since equal windows share their anchor.
 
-Exact copies collapse to the smallest id before anything else: a copy of at least
-``LENGTH`` bytes goes whole.
+Exact copies collapse to the smallest id before anything else (by two 64-bit hashes):
+a copy of at least ``LENGTH`` bytes goes whole.
+
+Skew: an anchor that several texts of a chunk hold is known to be shared, so these
+texts skip the bucket and one of them stands for the chunk there; with many buckets
+the same is done again over what a task of the coarse level gathers.  Equal strings of
+a chunk travel once, and an occurrence is 24 bytes.
 
 Results for odd input: a null text counts as empty; texts shorter than ``LENGTH``
-bytes stay whole; repeated rows with one doc_id are one document; rows without a
-doc_id are left out, having no order; an empty table gives an empty table; other
-columns are ignored.
+bytes stay whole; rows that repeat a doc_id never remove anything from each other,
+whether their texts are equal or not, and each gets its row; rows without a doc_id are
+left out, having no order; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _deal
 from ._spark import cut, table
-from ._text import Chunk, chunks, csr_gather, mix, prefix_hash, span_hash
-from .ngram_join import _dealt, _runs
+from ._text import Chunk, chunks, csr_gather, prefix_hash, span_hash
+from .ngram_join import _part, _runs
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, SEED = 50, 20
-#: Anchors of a bucket; bytes of text per bucket of contexts; bytes of a shard.
-BUCKET, CONTEXTS, SHARD = 1_000_000, 4 << 20, 1 << 19
+#: Anchors of a bucket; bytes of text per bucket of strings; bytes of a shard.
+BUCKET, STRINGS, SHARD = 1_000_000, 4 << 20, 1 << 19
 #: Text bytes handled at once.
 CHUNK = 2 << 20
 #: The symbol that ends a string; no UTF-8 text has this byte.
@@ -100,93 +108,89 @@ def anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return h[place[first]], place[first], start[first], start[last], doc[first].astype(np.int64)
 
 
-def _text_keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits a text, as two signed numbers."""
-    p = prefix_hash(chunk.data)
-    k1 = span_hash(p, chunk.offsets[:-1], chunk.offsets[1:])
-    k2 = np.array([int.from_bytes(hashlib.blake2b(chunk.text(i), digest_size=8).digest(), "little", signed=True) for i in range(len(chunk))], np.int64)
-    return k1.view(np.int64), k2
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``k1``, the text's hash."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"))
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes`` and the keys of each text."""
+    """``doc_id``, ``n_bytes`` and the two keys of each text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(101), text).alias("k2"))
+
+
+#: What travels: an anchor and its text; an occurrence with its string, which comes with the first of a chunk only.
+_ANCHOR = {"code": np.uint64, "key": np.int64}
+_STRING = {"whole": np.uint64, "id": np.int64, "key": np.int64, "number": np.uint32, "size": np.uint8, "bytes": np.uint8}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, size=CHUNK):
-            k1, k2 = _text_keys(c)
-            yield pa.RecordBatch.from_arrays([c.ids, pa.array(np.diff(c.offsets)), pa.array(k1), pa.array(k2)], ["doc_id", "n_bytes", "k1", "k2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, k1 long, k2 long")
+def _split(n: int):
+    """Anchors of several texts at hand go to their texts' parts (buckets from ``n`` on); one text an anchor goes to the anchor's bucket."""
+
+    def run(bucket: np.ndarray, x: dict) -> tuple[np.ndarray, dict]:
+        known = bucket >= n
+        code, key = x["code"][~known], x["key"][~known]
+        order = np.lexsort((key, code))
+        code, key = code[order], key[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
+        code, key = code[new], key[new]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
+        per = np.diff(np.concatenate((first, [len(code)])))
+        several = np.repeat(per > 1, per)
+        out = {"code": np.concatenate((code[first], code[several], x["code"][known])), "key": np.concatenate((key[first], key[several], x["key"][known]))}
+        return np.concatenate(((code[first] >> _U(32)).astype(np.int64), n + _part(key[several], n), bucket[known])), out
+
+    return run
 
 
-def _post(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Anchors by bucket, 32 bits each, with the texts' keys."""
+def _post(docs: DataFrame, n: int, to: _deal.Deal) -> DataFrame:
+    """Anchors by bucket, with the texts' keys."""
+    split = _split(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, size=CHUNK):
-            h, _, _, _, doc = anchors(c)
-            key, _ = _text_keys(c)
-            _, first, text = np.unique(key, return_index=True, return_inverse=True)
-            own = text[doc][first[text[doc]] == doc]
-            h = h[first[text[doc]] == doc]
-            order = np.lexsort((own, h))
-            h, own = h[order], own[order]
-            keep = np.ones(len(h), bool)
-            keep[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            h, own = h[keep], own[keep]
-            key = key[first]
-            rows = {"bucket": [], "low": [], "owner": [], "keys": []}
-            for b, x in _dealt(((h >> _U(32)) % _U(n_buckets)).astype(np.int64), n_buckets, low=(h & _LOW).astype(np.uint32), owner=own):
-                who, o = np.unique(x["owner"], return_inverse=True)
-                rows["bucket"].append(b)
-                rows["low"].append(x["low"].tobytes())
-                rows["owner"].append(o.astype(np.uint32 if len(who) > 0xFFFF else np.uint16).tobytes())
-                rows["keys"].append(key[who].tobytes())
-            if rows["bucket"]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in ("low", "owner", "keys"))], list(rows))
-
-    return docs.mapInArrow(run, "bucket int, low binary, owner binary, keys binary")
-
-
-def _shared(n_buckets: int):
+        for batch in batches:
+            keys, at = batch.column(2).to_numpy(), 0
+            for c in chunks([batch], size=CHUNK):
+                key = keys[at : at + len(c)]
+                at += len(c)
+                h, _, _, _, doc = anchors(c)
+                bucket = (h >> _U(32)) % _U(n)
+                bucket, out = split(bucket.astype(np.int64), {"code": bucket << _U(32) | (h & _LOW), "key": key[doc]})
+                if len(bucket):
+                    yield to.sent(bucket, out)
+
+    return docs.mapInArrow(run, to.schema)
+
+
+def _shared(n: int, to: _deal.Deal):
     """Of a bucket's anchors those of two texts or more, by text."""
 
-    def run(t: pa.Table) -> pa.Table:
-        low, key = [], []
-        for i in range(len(t)):
-            keys = np.frombuffer(t["keys"][i].as_buffer(), np.int64)
-            key.append(keys[np.frombuffer(t["owner"][i].as_buffer(), np.uint32 if len(keys) > 0xFFFF else np.uint16)])
-            low.append(np.frombuffer(t["low"][i].as_buffer(), np.uint32))
-        bucket, low, key = int(t["bucket"][0].as_py()), np.concatenate(low), np.concatenate(key)
-        order, _ = _runs(low, key)
-        found = _U(bucket) << _U(32) | low[order].astype(np.uint64)
-        rows = {"part": [], "found": [], "keys": []}
-        for p, x in _dealt((mix(key[order].view(np.uint64)) % _U(n_buckets)).astype(np.int64), n_buckets, found=found, key=key[order]):
-            rows["part"].append(p)
-            rows["found"].append(x["found"].tobytes())
-            rows["keys"].append(x["key"].tobytes())
-        return pa.Table.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["found"], pa.binary()), pa.array(rows["keys"], pa.binary())], names=list(rows))
+    def run(bucket: int, x: dict) -> pa.RecordBatch:
+        code, key = x["code"], x["key"]
+        if bucket < n:
+            order, _ = _runs((code & _LOW).astype(np.uint32), key)
+            code, key = code[order], key[order]
+        return to.sent(_part(key, n), {"code": code, "key": key})
 
     return run
 
 
-def _by_text(t: pa.Table) -> pa.Table:
+def _by_text(part: int, x: dict) -> pa.Table:
     """The shared anchors of each text."""
-    key = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["keys"]])
-    found = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["found"]])
-    order = np.lexsort((found, key))
-    key, found = key[order], found[order]
+    order = np.lexsort((x["code"], x["key"]))
+    key, found = x["key"][order], x["code"][order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
     ends = np.concatenate((first[1:], [len(key)]))
     return pa.table({"key": key[first], "shared": pa.array([np.unique(found[a:b]).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
-def _contexts(n_anchor_buckets: int, n_buckets: int):
-    """Contexts of the shared anchors by bucket: each once, with its occurrences."""
+def _strings(n_anchor_buckets: int, n_buckets: int, to: _deal.Deal):
+    """The strings around shared anchors by bucket: each once a chunk, with all its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, at = batch.column(2), 0
+            keys, shared, at = batch.column(2).to_numpy(), batch.column(3), 0
             for c in chunks([batch], size=CHUNK):
                 h, place, lo, hi, doc = anchors(c)
                 number = np.arange(len(h)) - np.searchsorted(doc, doc)
@@ -199,23 +203,22 @@ def _contexts(n_anchor_buckets: int, n_buckets: int):
                         s = np.frombuffer(shared[at + i].as_buffer(), np.uint64)
                         p = np.minimum(np.searchsorted(s, code[a:b]), len(s) - 1)
                         keep[a:b] = s[p] == code[a:b]
+                key = keys[at : at + len(c)]
                 at += len(c)
-                h, place, lo, hi, doc, number = (x[keep] for x in (h, place, lo, hi, doc, number))
+                h, lo, hi, doc, number = (x[keep] for x in (h, lo, hi, doc, number))
                 if not len(h):
                     continue
-                whole = mix(span_hash(prefix_hash(c.data), lo, hi + LENGTH) + h + (place - lo).astype(np.uint64))
-                _, first, which = np.unique(whole, return_index=True, return_inverse=True)
-                ids = np.asarray(c.ids)[doc]
+                size = hi + LENGTH - lo
+                whole = span_hash(prefix_hash(c.data), lo, lo + size)
+                # An anchor's strings all go to its bucket, so equal ones of one anchor do.
                 bucket = (h % _U(n_buckets)).astype(np.int64)
-                rows = {x: [] for x in ("bucket", "anchor", "whole", "left", "size", "bytes", "which", "ids", "number")}
-                for b, x in _dealt(bucket, n_buckets, which=which, ids=ids, number=number):
-                    who, w = np.unique(x["which"], return_inverse=True)
-                    f = first[who]
-                    size = hi[f] + LENGTH - lo[f]
-                    rows["bucket"].append(b)
-                    for name, v in (("anchor", h[f]), ("whole", whole[f]), ("left", (place - lo)[f].astype(np.uint8)), ("size", size.astype(np.uint8)), ("bytes", c.data[csr_gather(lo[f], size)]), ("which", w.astype(np.uint32)), ("ids", x["ids"]), ("number", x["number"].astype(np.uint32))):
-                        rows[name].append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in list(rows)[1:])], list(rows))
+                order = np.lexsort((whole, bucket))
+                new = np.ones(len(order), bool)
+                new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
+                first = np.sort(order[new])
+                brought = np.zeros(len(h), np.uint8)
+                brought[first] = size[first]
+                yield to.sent(bucket, {"whole": whole, "id": np.asarray(c.ids)[doc], "key": key[doc], "number": number, "size": brought, "bytes": c.data[csr_gather(lo[first], size[first])]})
 
     return run
 
@@ -256,32 +259,34 @@ def _pairs(data: np.ndarray) -> np.ndarray:
     return np.roll(data, 2).astype(np.uint16) << 8 | np.roll(data, 1)
 
 
-def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
-    """The transform of both, and the borders: where the first ``depth`` symbols differ from the suffix before.
+def merge(parts: list[Transform], depth: int) -> tuple[Transform, np.ndarray]:
+    """The transform of all parts, and the borders: where the first ``depth`` symbols differ from the suffix before.
 
     ``source`` says which transform each merged suffix comes from.  A stable pass
     by the two symbols before each suffix puts the suffixes two symbols longer in
     order, so after half as many passes they are sorted by ``depth`` (even)
     symbols.  ``block`` numbers the runs of equal prefixes so far.
     """
-    n = len(a.symbols) + len(b.symbols)
-    source = np.zeros(n, bool)
-    source[len(a.symbols) :] = True
+    given = np.concatenate([p.symbols for p in parts])
+    n = len(given)
+    source = np.repeat(np.arange(len(parts), dtype=np.uint8 if len(parts) < 256 else np.uint16), [len(p.symbols) for p in parts])
     block = np.zeros(n, np.int32)
     symbols = np.empty(n, np.uint16)
     border = np.zeros(n, bool)
     for _ in range(depth // 2):
-        symbols[~source], symbols[source] = a.symbols, b.symbols
+        # Within each transform the suffixes keep their order.
+        symbols[np.argsort(source, kind="stable")] = given
         order = np.argsort(symbols, kind="stable")
         s, k = symbols[order], block[order]
-        border[0] = True
+        border[:1] = True
         np.not_equal(s[1:], s[:-1], out=border[1:])
         border[1:] |= k[1:] != k[:-1]
         source = source[order]
         np.cumsum(border, out=block)
-    symbols[~source], symbols[source] = a.symbols, b.symbols
+    at = np.argsort(source, kind="stable")
+    symbols[at] = given
     places = np.empty(n, np.int64)
-    places[~source], places[source] = a.places, b.places
+    places[at] = np.concatenate([p.places for p in parts])
     return Transform(symbols, places), border
 
 
@@ -302,88 +307,58 @@ def repeated(strings: np.ndarray, sizes: np.ndarray, depth: int, shard: int = SH
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + shard, side="right")))
         parts.append(Transform.of(data[starts[lo] : ends[hi - 1]], depth, int(starts[lo])))
         lo = hi
-    if len(parts) == 1:
-        parts.append(Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64)))
-    border = np.zeros(0, bool)
-    while len(parts) > 1:
-        merged = [merge(parts[i], parts[i + 1], depth) for i in range(0, len(parts) - 1, 2)]
-        border = merged[0][1]
-        parts = [m for m, _ in merged] + parts[len(parts) // 2 * 2 :]
-    return parts[0].places, np.cumsum(border)
-
-
-def _alike(text: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which contexts have a window whose hash another window has; strings of the others stand alone."""
-    if not len(at):
-        return at
-    start = csr_gather(at, windows)
-    h = span_hash(prefix_hash(text), start, start + LENGTH)
-    order = np.argsort(h)
-    same = h[order[1:]] == h[order[:-1]]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    return np.flatnonzero(np.logical_or.reduceat(twice, np.concatenate(([0], np.cumsum(windows)[:-1]))))
-
-
-def _found(t: pa.Table) -> pa.Table:
-    """Windows of a bucket's contexts that an earlier document has, as masks by document."""
-    cat = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in t[name]]
-    whole = cat("whole", np.uint64)
-    shift = np.concatenate(([0], np.cumsum([len(x) for x in whole])[:-1]))
-    which = np.concatenate([w.astype(np.int64) + s for w, s in zip(cat("which", np.uint32), shift, strict=True)])
-    whole, anchor = np.concatenate(whole), np.concatenate(cat("anchor", np.uint64))
-    left, size, text = (np.concatenate(cat(x, np.uint8)) for x in ("left", "size", "bytes"))
-    ids, number = np.concatenate(cat("ids", np.int64)), np.concatenate(cat("number", np.uint32))
-    at = np.concatenate(([0], np.cumsum(size.astype(np.int64))))
-    # Equal contexts are one; its smallest document stands for it.
-    _, first, one = np.unique(whole, return_index=True, return_inverse=True)
-    which = one[which]
-    least = np.full(len(first), np.iinfo(np.int64).max)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole, border = merge(parts, depth)
+    return whole.places, np.cumsum(border)
+
+
+def _found(bucket: int, x: dict) -> pa.Table:
+    """Windows of a bucket's strings that an earlier document has, as masks by text."""
+    brought = np.flatnonzero(x["size"])
+    whole, size = x["whole"][brought], x["size"][brought].astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))[:-1]
+    # Equal strings are one; its smallest document stands for it.
+    whole, first = np.unique(whole, return_index=True)
+    at, size = at[first], size[first]
+    which = np.searchsorted(whole, x["whole"])
+    ids = x["id"]
+    least = np.full(len(whole), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
-    anchor, size, at = anchor[first], size[first].astype(np.int64), at[:-1][first]
-    n_windows = size - LENGTH + 1
-    # An anchor with one context: its windows are all the smallest document's.
-    mask = np.zeros(len(which), np.uint64)
-    later = least[which] < ids
-    mask[later] = (_U(1) << n_windows[which[later]].astype(np.uint64)) - _U(1)
-    # Only anchors with several contexts need their strings compared.
-    _, a_inv, a_count = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(a_count[a_inv] > 1)
-    several = several[_alike(text, at[several], n_windows[several])]
-    back = np.full(len(size), -1)
-    if len(several):
-        # The windows of these contexts, by context: the smallest document that has each.
-        windows = n_windows[several]
-        w_at = np.concatenate(([0], np.cumsum(windows)))
-        smallest = np.repeat(least[several], windows)
-        places, interval = repeated(text[csr_gather(at[several], size[several])], size[several], LENGTH)
-        starts = np.concatenate(([0], np.cumsum(size[several] + 1)))
-        ctx = np.repeat(np.arange(len(several)), size[several] + 1)[places]
-        offset = places - starts[ctx]
-        window = offset < windows[ctx]
-        w = w_at[ctx[window]] + offset[window]
-        interval = interval[window]
-        low = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, interval, smallest[w])
-        smallest[w] = low[interval]
-        # The windows of each occurrence that an earlier document has.
-        back[several] = np.arange(len(several))
-        mine = np.flatnonzero(back[which] >= 0)
-        c = back[which[mine]]
-        per = windows[c]
-        w = csr_gather(w_at[c], per)
+    # The windows of all strings, by string: the smallest document that has each, from the intervals.
+    windows = size - LENGTH + 1
+    w_at = np.concatenate(([0], np.cumsum(windows)))
+    smallest = np.repeat(least, windows)
+    places, interval = repeated(x["bytes"][csr_gather(at, size)], size, LENGTH)
+    starts = np.concatenate(([0], np.cumsum(size + 1)))
+    string = np.repeat(np.arange(len(size)), size + 1)[places]
+    offset = places - starts[string]
+    window = offset < windows[string]
+    w, interval = w_at[string[window]] + offset[window], interval[window]
+    # Intervals stand in order, so the least of each is a running segment.
+    border = np.flatnonzero(np.concatenate((np.ones(min(1, len(interval)), bool), interval[1:] != interval[:-1])))
+    low = np.minimum.reduceat(smallest[w], border)
+    smallest[w] = np.repeat(low, np.diff(np.concatenate((border, [len(w)]))))
+    # The windows of each occurrence that an earlier document has; most strings have none or all of one kind.
+    top = np.maximum.reduceat(smallest, w_at[:-1])
+    floor = np.minimum.reduceat(smallest, w_at[:-1])
+    mask = np.where(top[which] < ids, (_U(1) << windows[which].astype(np.uint64)) - _U(1), _U(0))
+    mine = np.flatnonzero((floor[which] < ids) & (top[which] >= ids))
+    per = windows[which[mine]]
+    if len(mine):
+        w = csr_gather(w_at[which[mine]], per)
         first = np.concatenate(([0], np.cumsum(per)[:-1]))
         bit = np.arange(len(w)) - np.repeat(first, per)
         gone = smallest[w] < np.repeat(ids[mine], per)
         mask[mine] = np.bitwise_or.reduceat(gone.astype(np.uint64) << bit.astype(np.uint64), first)
     some = np.flatnonzero(mask)
-    some = some[np.lexsort((number[some], ids[some]))]
-    doc = ids[some]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), doc[1:] != doc[:-1])))
+    number, key = x["number"], x["key"]
+    some = some[np.lexsort((number[some], key[some], ids[some]))]
+    doc, key = ids[some], key[some]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
     ends = np.concatenate((first[1:], [len(doc)]))
-    cut_up = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
-    return pa.table({"id": doc[first], "number": cut_up(number[some]), "mask": cut_up(mask[some])})
+    cut_up = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return pa.table({"id": doc[first], "key": key[first], "number": cut_up(number[some]), "mask": cut_up(mask[some])})
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,18 +400,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     meta = cut(text_classes(docs))
     total = meta.agg(F.sum("n_bytes")).first()[0] or 0
-    n_anchor_buckets = max(64, total // (16 * BUCKET))
-    n_buckets = max(64, total // CONTEXTS)
+    n_anchors, n_strings = max(64, total // (16 * BUCKET)), max(64, total // STRINGS)
     classes = cut(meta.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    shared = _post(docs, n_anchor_buckets).groupBy("bucket").applyInArrow(_shared(n_anchor_buckets), "part int, found binary, keys binary")
-    shared = cut(shared.groupBy("part").applyInArrow(_by_text, "key long, shared binary"))
-    wanted = classes.join(shared, F.col("k1") == F.col("key")).select(F.col("rep").alias("id"), "shared")
-    schema = "bucket int, anchor binary, whole binary, left binary, size binary, bytes binary, which binary, ids binary, number binary"
-    contexts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "shared").mapInArrow(_contexts(n_anchor_buckets, n_buckets), schema)
-    found = contexts.groupBy("bucket").applyInArrow(_found, "id long, number binary, mask binary")
-    found = found.groupBy("id").agg(F.collect_list("number").alias("number"), F.collect_list("mask").alias("mask"))
-    copies = meta.join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy_id")).distinct()
-    rows = docs.join(found, F.col("doc_id") == F.col("id"), "left").join(copies, F.col("doc_id") == F.col("copy_id"), "left")
+    keyed = _keyed(docs)
+    anchored, stringed = _deal.Deal(_ANCHOR, n_anchors), _deal.Deal(_STRING, n_strings)
+    shared = anchored.met(_post(keyed, n_anchors, anchored), _shared(n_anchors, anchored), anchored.schema, _split(n_anchors))
+    shared = cut(anchored.met(shared, _by_text, "key long, shared binary"))
+    # Texts, not ids, are looked at: an id with several texts has several rows here.
+    wanted = classes.join(shared, F.col("k1") == F.col("key")).select(F.col("rep").alias("id"), "key", "shared")
+    here = (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("key"))
+    strings = keyed.join(wanted, here).select("doc_id", "text", "k1", "shared").mapInArrow(_strings(n_anchors, n_strings, stringed), stringed.schema)
+    found = stringed.met(strings, _found, "id long, key long, number binary, mask binary")
+    found = found.groupBy("id", "key").agg(F.collect_list("number").alias("number"), F.collect_list("mask").alias("mask"))
+    copies = meta.join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy_id"), F.col("k1").alias("copy_key")).distinct()
+    rows = keyed.join(found, here, "left").join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("k1") == F.col("copy_key")), "left")
     rows = rows.select("doc_id", "text", F.col("copy_id").isNotNull().alias("copy"), "number", "mask")
     return rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

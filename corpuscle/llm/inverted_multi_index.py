@@ -46,6 +46,8 @@ CELL = 200
 RECALL = 0.998
 #: Members and visitors of a unit.
 MEMBERS, VISITORS = 512, 4096
+#: Cells of the grid up to which their sizes (20 bytes a cell) are broadcast.
+SMALL = 200_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -128,6 +130,7 @@ def links(reps: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
     visitors = placed.select("rep", "weight", "embedding", F.col("visits")[0].alias("home"), F.explode("visits").alias("cell"))
     sizes = members.groupBy("cell").count().select("cell", F.col("count").alias("m"), F.lit(0).alias("v")).unionByName(visitors.groupBy("cell").count().select("cell", F.lit(0).alias("m"), F.col("count").alias("v")))
     sizes = cut(sizes.groupBy(F.col("cell").alias("c")).agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / MEMBERS)).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil(F.sum("v") / VISITORS)).cast("int").alias("vb")))
+    sizes = F.broadcast(sizes) if grid.k * grid.k <= SMALL else sizes
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("rep")), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = F.col("cell") == F.col("c")

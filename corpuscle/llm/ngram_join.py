@@ -25,15 +25,21 @@ Nothing is sampled or capped: every pair of linked sets is in one group, and is
 either compared or already connected.  Shingles are 64-bit hashes; a posted list
 is a filter only, so a collision there costs a comparison and loses nothing.
 
-Skew: lists travel as binary blobs a chunk and a bucket, exact copies once a
-chunk; the number of buckets follows the number of shingles, so a bucket's memory is
-bounded; groups are split into blocks of at most ``BLOCK`` sets.
+Skew: lists travel as binary blobs, exact copies once a chunk; the number of buckets
+follows the number of shingles, so a bucket's memory is bounded.  Shingles that
+chunks hold many times over are *hot*: their lists are known to be shared and their
+lengths are known from the counts of the first pass, so their postings skip the
+buckets and no list meets in one task.  When lists are tied to stars, each part of
+the classes ties its own first and hands on one class a list.  Groups are split into
+blocks of at most ``BLOCK`` sets.
 
 Results for odd input: texts that are null, empty or white space have an empty
 set, link with nothing and are their own component; fewer than ``K`` words make
-one shingle of the whole sequence; repeated rows are copies of each other; rows
-without a doc_id are left out, having no identity; an empty table gives an empty
-table; other columns are ignored.
+one shingle of the whole sequence; repeated rows are copies of each other, and rows
+that repeat a doc_id with another text are documents of their own under that id;
+rows without a doc_id are left out, having no identity; an empty table gives an
+empty table; other columns are ignored.  Components are exact; pairs that are
+connected already are not compared, so single links are not counted.
 """
 
 from __future__ import annotations
@@ -46,9 +52,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _deal
 from ._graph import Forest, components
 from ._spark import cut, packed, table, unpacked
-from ._text import MAX_CHUNK, chunks, mix, shingle_sets
+from ._text import MAX_CHUNK, chunks, csr_gather, mix, shingle_sets
 
 #: Words of a shingle.
 K = 5
@@ -60,6 +67,8 @@ PART = 40
 MORE = 40
 #: Postings of a bucket.
 BUCKET = 1_000_000
+#: Classes of one chunk that hold a shingle before the chunk counts it; counted classes that make it hot, and hot shingles at most.
+OFTEN, HOT, HOT_LISTS = 4, 100_000, 100_000
 #: Sets, and shingles, of a block of a group.
 BLOCK, BLOCK_SHINGLES = 96, 1_000_000
 
@@ -111,59 +120,78 @@ def _class_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[0], keys[1]
 
 
+def _posted_part(h: np.ndarray, off: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The posted shingles of the distinct sets of a chunk, and which document stands for the set of each."""
+    _, first = np.unique(key, return_index=True)
+    first = first[n[first] > 0]
+    take = _posted(n[first])
+    return h[csr_gather(off[first], take)], np.repeat(first, take)
+
+
 def shingle_counts(docs: DataFrame, k: int = K) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and the class keys ``k1``, ``k2`` of every document."""
+    """``doc_id``, ``n_shingles``, the class keys ``k1``, ``k2`` of every document, and ``often``: shingles that many classes of a chunk hold, with counts, beside its first document."""
+
+    least = OFTEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
+        for c in chunks(batches, size=2 * MAX_CHUNK):
             h, off = shingle_sets(c, k)
-            k1, k2 = _class_keys(h, off)
-            yield pa.RecordBatch.from_arrays([c.ids, pa.array(np.diff(off)), pa.array(k1), pa.array(k2)], ["doc_id", "n_shingles", "k1", "k2"])
+            n, (k1, k2) = np.diff(off), _class_keys(h, off)
+            posted, _ = _posted_part(h, off, n, k1)
+            posted, count = np.unique(posted, return_counts=True)
+            many = count >= least
+            often = np.stack((posted[many], count[many].astype(np.uint64)), axis=1).tobytes() if many.any() else None
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array(n), pa.array(k1), pa.array(k2), pa.array([often, *[None] * (len(c) - 1)], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "often"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, often binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+def hot_shingles(meta: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hot shingles, ascending, and their counts: at most some multiple of ``HOT_LISTS``, whatever the table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in batch.column(0)]
+            both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "n"])
+
+    counts = meta.where("often is not null").select("often").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    got = counts.where(F.col("n") >= max(HOT, total // HOT_LISTS)).collect()
+    h = np.array([r["h"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["n"] for r in got], np.uint32)[order]
 
-def _batch(**cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in cols.values()], list(cols))
 
+#: What a posting carries: its list, its class and the class's size; then the list's length too.
+_POSTING = {"code": np.uint32, "key": np.int64, "size": np.uint32}
+_LISTED = {"code": np.uint64, "key": np.int64, "size": np.uint32, "length": np.uint32}
+_TIED = {"a": np.int64, "b": np.int64}
+_HOT_BIT = _U(1 << 63)
 
-def _dealt(bucket: np.ndarray, n_buckets: int, **parts: np.ndarray) -> Iterator[tuple[int, dict]]:
-    """The parts cut by bucket."""
-    order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=n_buckets))
-    sorted_parts = {k: v[order] for k, v in parts.items()}
-    lo = 0
-    for b, hi in enumerate(ends.tolist()):
-        if hi > lo:
-            yield b, {k: v[lo:hi] for k, v in sorted_parts.items()}
-        lo = hi
 
+def _part(key: np.ndarray, n: int) -> np.ndarray:
+    return (mix(key.view(np.uint64)) % _U(n)).astype(np.int64)
 
-def _post(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
-    """Posted shingles by bucket: 32 bits each, the class of each, the classes' keys and sizes."""
+
+def _post(docs: DataFrame, k: int, n: int, hot: np.ndarray, out: _deal.Deal) -> DataFrame:
+    """Posted shingles by bucket, the buckets from ``n`` on for those that are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, size=2 * MAX_CHUNK):
             h, off = shingle_sets(c, k)
-            n, (key, _) = np.diff(off), _class_keys(h, off)
-            _, first = np.unique(key, return_index=True)
-            first = first[n[first] > 0]
-            take = _posted(n[first])
-            owner = np.repeat(np.arange(len(first)), take)
-            h = h[np.repeat(off[first] - np.concatenate(([0], np.cumsum(take)[:-1])), take) + np.arange(int(take.sum()))] if len(first) else h[:0]
-            key, n = key[first], n[first]
-            rows = {"bucket": [], "low": [], "owner": [], "keys": [], "sizes": []}
-            for b, x in _dealt(((h >> _U(32)) % _U(n_buckets)).astype(np.int64), n_buckets, low=(h & _U(0xFFFFFFFF)).astype(np.uint32), owner=owner):
-                who, own = np.unique(x["owner"], return_inverse=True)
-                rows["bucket"].append(b)
-                rows["low"].append(x["low"].tobytes())
-                rows["owner"].append(own.astype(np.uint32 if len(who) > 0xFFFF else np.uint16).tobytes())
-                rows["keys"].append(key[who].tobytes())
-                rows["sizes"].append(n[who].astype(np.uint32).tobytes())
-            if rows["bucket"]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in ("low", "owner", "keys", "sizes"))], list(rows))
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, low binary, owner binary, keys binary, sizes binary")
+            size, (key, _) = np.diff(off), _class_keys(h, off)
+            h, own = _posted_part(h, off, size, key)
+            key, size = key[own], size[own]
+            bucket, code = ((h >> _U(32)) % _U(n)).astype(np.int64), (h & _U(0xFFFFFFFF)).astype(np.uint32)
+            if len(hot) and len(h):
+                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                is_hot = hot[at] == h
+                bucket[is_hot] = n + _part(key[is_hot], n)
+                code[is_hot] = at[is_hot]
+            if len(h):
+                yield out.sent(bucket, {"code": code, "key": key, "size": size})
+
+    return docs.select("doc_id", "text").mapInArrow(run, out.schema)
 
 
 def _runs(low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,82 +209,77 @@ def _runs(low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64) if len(lens) else lens
 
 
-def _shared(n_buckets: int):
+def _shared(n: int, hot_counts: np.ndarray, out: _deal.Deal):
     """Of a bucket's postings those that two classes share, with the lengths of their lists, dealt out by class."""
 
-    def run(t: pa.Table) -> pa.Table:
-        low, key, size = [], [], []
-        for i in range(len(t)):
-            keys, sizes = np.frombuffer(t["keys"][i].as_buffer(), np.int64), np.frombuffer(t["sizes"][i].as_buffer(), np.uint32)
-            own = np.frombuffer(t["owner"][i].as_buffer(), np.uint32 if len(keys) > 0xFFFF else np.uint16)
-            low.append(np.frombuffer(t["low"][i].as_buffer(), np.uint32))
-            key.append(keys[own])
-            size.append(sizes[own])
-        bucket = int(t["bucket"][0].as_py())
-        low, key, size = np.concatenate(low), np.concatenate(key), np.concatenate(size)
-        order, starts = _runs(low, key)
-        length = np.repeat(np.diff(np.concatenate((starts, [len(order)]))), np.diff(np.concatenate((starts, [len(order)])))).astype(np.uint32)
-        low, key, size = low[order], key[order], size[order]
-        order = np.lexsort((low, key))
-        low, key, size, length = low[order], key[order], size[order], length[order]
-        keep = np.ones(len(low), bool)
-        keep[1:] = (low[1:] != low[:-1]) | (key[1:] != key[:-1])
-        rows = {"part": [], "bucket": [], "low": [], "keys": [], "sizes": [], "lengths": []}
-        for p, x in _dealt((mix(key[keep].view(np.uint64)) % _U(n_buckets)).astype(np.int64), n_buckets, low=low[keep], keys=key[keep], sizes=size[keep], lengths=length[keep]):
-            rows["part"].append(p)
-            rows["bucket"].append(bucket)
-            for name, v in x.items():
-                rows[name].append(v.tobytes())
-        return pa.Table.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in ("low", "keys", "sizes", "lengths"))], names=list(rows))
+    def run(bucket: int, x: dict) -> pa.RecordBatch:
+        code, key, size = x["code"], x["key"], x["size"]
+        if bucket >= n:
+            code, length = code.astype(np.uint64) | _HOT_BIT, hot_counts[code]
+        else:
+            order, starts = _runs(code, key)
+            per = np.diff(np.concatenate((starts, [len(order)])))
+            length = np.repeat(per, per).astype(np.uint32)
+            code, key, size = code[order].astype(np.uint64) | _U(bucket << 32), key[order], size[order]
+        order = np.lexsort((code, key))
+        code, key, size, length = code[order], key[order], size[order], length[order]
+        keep = np.ones(len(code), bool)
+        keep[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
+        return out.sent(_part(key[keep], n), {"code": code[keep], "key": key[keep], "size": size[keep], "length": length[keep]})
 
     return run
 
 
-def _enough(t: pa.Table) -> pa.Table:
-    """The postings of the classes that share enough of theirs, by bucket again.
+def _enough(n: int, out: _deal.Deal):
+    """The postings of the classes that share enough of theirs: ties within the part, and one class a list for its bucket.
 
     Of two linked sets the rarest common posting has ``need - 1`` others above it
     in the order of list lengths, so each class may leave out its ``need - 1``
     longest lists: common passages then tie no groups together.
     """
-    bucket = np.array(t["bucket"].to_pylist(), np.int64)
-    col = lambda name, kind: [np.frombuffer(t[name][i].as_buffer(), kind) for i in range(len(t))]
-    low, key, size, length = col("low", np.uint32), np.concatenate(col("keys", np.int64)), np.concatenate(col("sizes", np.uint32)).astype(np.int64), np.concatenate(col("lengths", np.uint32))
-    where = np.repeat(bucket, [len(x) for x in low])
-    low = np.concatenate(low)
-    order = np.lexsort((low, where, length, key))
-    low, key, size, where = low[order], key[order], size[order], where[order]
-    _, first, inv, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    ok = np.arange(len(key)) - first[inv] <= count[inv] - _need(size)
-    rows = {"bucket": [], "low": [], "keys": []}
-    if ok.any():
-        for b, x in _dealt(where[ok], int(where.max()) + 1, low=low[ok], key=key[ok]):
-            rows["bucket"].append(b)
-            rows["low"].append(x["low"].tobytes())
-            rows["keys"].append(x["key"].tobytes())
-    return pa.Table.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["low"], pa.binary()), pa.array(rows["keys"], pa.binary())], names=list(rows))
-
-
-def _stars(t: pa.Table) -> pa.Table:
-    """One star a shared list: every class of the list with its smallest class."""
-    col = lambda name, kind: np.concatenate([np.frombuffer(t[name][i].as_buffer(), kind) for i in range(len(t))])
-    low, key = col("low", np.uint32), col("keys", np.int64)
-    order, starts = _runs(low, key)
-    if not len(starts):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    key = key[order]
-    hub = np.repeat(np.minimum.reduceat(key, starts), np.diff(np.concatenate((starts, [len(key)]))))
-    away = hub != key
-    pairs = np.unique(np.stack((key[away], hub[away]), axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
+    def run(part: int, x: dict) -> pa.RecordBatch:
+        order = np.lexsort((x["code"], x["length"], x["key"]))
+        code, key, size = x["code"][order], x["key"][order], x["size"][order].astype(np.int64)
+        _, first, inv, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        ok = np.arange(len(key)) - first[inv] <= count[inv] - _need(size)
+        code, key = code[ok], key[ok]
+        hub, ties = _ties(code, key)
+        # A list goes on with its smallest class here; hot lists have no bucket of their own.
+        code, key = code[hub], key[hub]
+        bucket = np.where(code & _HOT_BIT, code & _U(0xFFFFFFFF), code >> _U(32)).astype(np.int64) % n
+        own = np.full(len(ties), n + part)
+        return out.sent(np.concatenate((bucket, own)), {"a": np.concatenate((code.view(np.int64), ties[:, 0])), "b": np.concatenate((key, ties[:, 1]))})
 
-def candidate_groups(docs: DataFrame, k: int, total: int) -> DataFrame:
+    return run
+
+
+def _ties(code: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the smallest class of each list stands, and one star a list: every other class with it."""
+    order = np.lexsort((key, code))
+    c, k = code[order], key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(c)), bool), c[1:] != c[:-1])))
+    hub = np.repeat(k[first], np.diff(np.concatenate((first, [len(c)]))))
+    away = hub != k
+    return order[first], np.unique(np.stack((k[away], hub[away]), axis=1), axis=0)
+
+
+def _stars(n: int):
+    """The ties of a part, or one star a list of a bucket, as rows."""
+
+    def run(bucket: int, x: dict) -> pa.Table:
+        ties = np.stack((x["a"], x["b"]), axis=1) if bucket >= n else _ties(x["a"], x["b"])[1]
+        return pa.table({"a": ties[:, 0], "b": ties[:, 1]})
+
+    return run
+
+
+def candidate_groups(docs: DataFrame, k: int, total: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``key`` (first class key) and ``grp`` of every class that may link with another."""
-    n_buckets = max(64, -(-total * PART // (100 * BUCKET)))
-    lists = _post(docs, k, n_buckets).groupBy("bucket").applyInArrow(_shared(n_buckets), "part int, bucket int, low binary, keys binary, sizes binary, lengths binary")
-    lists = lists.groupBy("part").applyInArrow(_enough, "bucket int, low binary, keys binary")
-    stars = lists.groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    n = max(64, -(-total * PART // (100 * BUCKET)))
+    posting, listed, tied = (_deal.Deal(kinds, n) for kinds in (_POSTING, _LISTED, _TIED))
+    lists = posting.met(_post(docs, k, n, hot[0], posting), _shared(n, hot[1], listed), listed.schema)
+    stars = tied.met(listed.met(lists, _enough(n, tied), tied.schema), _stars(n), "a long, b long")
     return components(stars.distinct()).select(F.col("node").alias("key"), F.col("label").alias("grp"))
 
 
@@ -308,7 +331,7 @@ def divide_skip(sets: list[np.ndarray], queries: list[int], index: list[int], sk
 
 def _search(t: pa.Table) -> pa.Table:
     """Links of a unit as a spanning forest: role 0 is index and query, 1 index, 2 query; equal ``label`` means connected already."""
-    ids, role = t["rep"].to_numpy(), t["role"].to_numpy()
+    ids, role = t["key"].to_numpy(), t["role"].to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, role = ids[order], role[order]
     sets = [np.frombuffer(t["tokens"][int(i)].as_buffer(), np.uint64) for i in order]
@@ -327,56 +350,54 @@ def _search(t: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """``rep`` and ``tokens`` (binary) of the members' texts."""
+    """``key`` and ``tokens`` (binary) of the members' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            expected = {}
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                expected.setdefault(i, set()).add(x)
+            wanted, at = batch.column(2).to_numpy(), 0
             for c in chunks([batch]):
                 h, off = shingle_sets(c, k)
                 key, _ = _class_keys(h, off)
-                ids = c.ids.to_pylist()
-                keep = [i for i in range(len(c)) if int(key[i]) in expected[ids[i]]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([h[off[i] : off[i + 1]].tobytes() for i in keep], pa.binary())], ["rep", "tokens"])
+                keep = np.flatnonzero(key == wanted[at : at + len(c)]).tolist()
+                at += len(c)
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array([h[off[i] : off[i + 1]].tobytes() for i in keep], pa.binary())], ["key", "tokens"])
 
-    wanted = members.select(F.col("rep").alias("doc_id"), "k1").distinct()
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "k1").mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"])
+    wanted = members.select(F.col("rep").alias("doc_id"), "key").distinct()
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "key").mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"])
 
 
 def links(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame:
-    """``node`` and ``label``: linked classes' components, by the smallest ``rep`` of each.
+    """``node`` and ``label``: the components of linked classes, by the smallest ``key`` of each.
 
-    ``members`` has ``rep``, ``k1``, ``n_shingles`` and ``grp`` of every class that may link.
+    ``members`` has ``key``, ``rep``, ``n_shingles`` and ``grp`` of every class that may link.
     """
     size = cut(members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")))
     size = size.select(F.col("grp").alias("g"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     n_bins = max(1, members.count() // BLOCK)
-    placed = members.join(size, F.col("grp") == F.col("g")).select("rep", "grp", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("blk"))
+    placed = members.join(size, F.col("grp") == F.col("g")).select("key", "grp", "blocks", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("blk"))
     placed = cut(placed)
     sets = cut(_sets(docs, members, k))
     nothing = F.lit(None).cast("long").alias("label")
     # Small groups share units; a large group's blocks each query the block of hubs.
-    small = placed.where("blocks = 1").select("rep", F.lit(-1).cast("long").alias("unit"), F.pmod(F.xxhash64("grp"), F.lit(n_bins)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), nothing)
+    small = placed.where("blocks = 1").select("key", F.lit(-1).cast("long").alias("unit"), F.pmod(F.xxhash64("grp"), F.lit(n_bins)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), nothing)
     large = placed.where("blocks > 1")
-    hubs = large.where("blk = 0").select("rep", F.col("grp").alias("unit"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), nothing)
-    own = large.select("rep", F.col("grp").alias("unit"), F.col("blk").alias("i"), F.lit(0).alias("j"), F.when(F.col("blk") == 0, 0).otherwise(2).alias("role"), nothing)
+    hubs = large.where("blk = 0").select("key", F.col("grp").alias("unit"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("role"), nothing)
+    own = large.select("key", F.col("grp").alias("unit"), F.col("blk").alias("i"), F.lit(0).alias("j"), F.when(F.col("blk") == 0, 0).otherwise(2).alias("role"), nothing)
 
     def search(units: DataFrame) -> DataFrame:
-        return sets.join(units, "rep").groupBy("unit", "i", "j").applyInArrow(_search, "a long, b long")
+        return sets.join(units, "key").groupBy("unit", "i", "j").applyInArrow(_search, "a long, b long")
 
     edges = cut(search(small.unionByName(hubs).unionByName(own)))
     found = components(edges)
     # What is outside the largest component of a large group queries the whole group.
-    named = cut(large.join(found.withColumnRenamed("label", "label_"), F.col("rep") == F.col("node"), "left").select("rep", "grp", "blocks", "blk", F.coalesce("label_", "rep").alias("label")))
+    named = cut(large.join(found.withColumnRenamed("label", "label_"), F.col("key") == F.col("node"), "left").select("key", "grp", "blocks", "blk", F.coalesce("label_", "key").alias("label")))
     most = named.groupBy("grp", "label").count().groupBy("grp").agg(F.max(F.struct(F.col("count"), F.col("label"))).alias("x"), F.sum("count").alias("all"))
     most = cut(most.select(F.col("grp").alias("g"), F.col("x.label").alias("top"), F.ceil((F.col("all") - F.col("x.count")) / BLOCK).cast("int").alias("rests")).where("rests > 0"))
     if most.isEmpty():
         return found
     both = named.join(most, F.col("grp") == F.col("g"))
-    rest = both.where("label <> top").select("rep", F.col("grp").alias("unit"), F.pmod(F.xxhash64(F.lit(7), F.col("rep")), "rests").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(2).alias("role"), "label")
-    whole = both.select("rep", F.col("grp").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("role"), "label")
+    rest = both.where("label <> top").select("key", F.col("grp").alias("unit"), F.pmod(F.xxhash64(F.lit(7), F.col("key")), "rests").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(2).alias("role"), "label")
+    whole = both.select("key", F.col("grp").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("role"), "label")
     more = cut(search(rest.unionByName(whole)))
     if more.isEmpty():
         return found
@@ -388,23 +409,33 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     meta = cut(shingle_counts(docs, k))
     total = meta.agg(F.sum("n_shingles")).first()[0] or 0
+    hot = hot_shingles(meta, total)
+    meta = meta.drop("often")
     classes = cut(meta.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
     if total:
-        groups = candidate_groups(docs, k, total)
-        members = cut(classes.join(groups, F.col("k1") == F.col("key")).select("rep", "k1", "n_shingles", "grp"))
+        groups = candidate_groups(docs, k, total, hot)
+        members = cut(classes.join(groups, F.col("k1") == F.col("key")).select("key", "rep", "n_shingles", "grp"))
         found = links(docs, members, k)
-        classes = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("label", "rep").alias("label")))
+        # Classes, not documents, are linked: an id with two texts may stand in two components.
+        linked = cut(classes.select("k1", "rep").join(found, F.col("k1") == F.col("node")).select("node", "rep", "label"))
+        least = cut(linked.groupBy(F.col("label").alias("l")).agg(F.min("rep").alias("first")))
+        linked = linked.join(least, F.col("label") == F.col("l")).select("node", "first").distinct()
+        classes = cut(classes.join(linked, F.col("k1") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("first", "rep").alias("label")))
     else:
         classes = classes.withColumn("label", F.col("rep"))
     return meta.join(classes.select("k1", "k2", "rep", "label"), ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame, k: int = K) -> DataFrame:
-    """One document of each group of linked ones, the smallest doc_id, with its columns; rows without a doc_id stay."""
+    """One document of each group of linked ones, the smallest doc_id, with its columns; rows without a doc_id stay.
+
+    Of rows that repeat a kept doc_id one stays, the first by the hash of its text.
+    """
     found = near_duplicates(docs, k).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = packed(docs).withColumn("id", F.col("row.doc_id"))
-    kept = rows.where("id is not null").join(found, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id"])
-    return unpacked(kept.unionByName(rows.where("id is null")), docs.columns)
+    kept = rows.where("id is not null").join(found, F.col("id") == F.col("kept_id"), "left_semi")
+    kept = kept.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return unpacked(kept.select("row").unionByName(rows.where("id is null").select("row")), docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

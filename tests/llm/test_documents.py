@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from corpuscle.llm import bpe_backtrack, bwt_dedup, crf_language, license_join, ngram_join, secret_ledger, weak_toxicity
+from corpuscle.llm import _deal, bpe_backtrack, bwt_dedup, crf_language, license_join, ngram_join, secret_ledger, weak_toxicity
 from corpuscle.llm._graph import Forest, components
 
 from .conftest import SCHEMA, odd_texts, prose, rows
@@ -332,3 +332,76 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(moves, want_moves)
 
 
+
+
+def test_ngram_join_keeps_texts_of_one_id_apart(spark):
+    a, b = prose(700, 62), prose(701, 62)
+    near = a.rsplit(" ", 1)[0] + " other"
+    texts = [(1, a), (1, b), (3, near), (5, b), (5, prose(702, 30)), (7, prose(702, 30))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows(texts), SCHEMA)).collect())
+    assert [(d, c) for d, _, c in got] == [(1, 1), (1, 1), (3, 1), (5, 1), (5, 5), (7, 5)] or [(d, c) for d, _, c in got] == [(1, 1), (1, 1), (3, 1), (5, 5), (5, 1), (7, 5)]
+    assert {r.doc_id for r in ngram_join.keep_first(spark.createDataFrame(rows(texts), SCHEMA)).collect()} == {1, 5}
+
+
+def test_ngram_join_with_hot_shingles_and_two_levels(spark, odd, monkeypatch):
+    passage = prose(800, 25)
+    texts = odd_texts() + [(2001 + i, prose(810 + i, 12) + " " + passage + (" tail" if i % 2 else "")) for i in range(40)] + [(3001 + i, passage + " " + " ".join(passage.split()[:3] + [f"y{i}"])) for i in range(30)]
+    df, want = spark.createDataFrame(rows(texts), SCHEMA).repartition(3), linked(texts)
+    for name, value in (("HOT", 8), ("OFTEN", 2), ("BUCKET", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(_deal, "FLUSH", 4000)
+    for direct in (2048, 16):
+        monkeypatch.setattr(_deal, "DIRECT", direct)
+        monkeypatch.setattr(_deal, "COARSE", 5)
+        meta = ngram_join.shingle_counts(df).persist()
+        assert len(ngram_join.hot_shingles(meta, 1)[0]) > 10
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == want
+
+
+def test_dealing_costs_nothing_for_buckets_that_do_not_occur():
+    r = np.random.default_rng(0)
+    kinds = {"code": np.uint32, "size": np.uint8, "bytes": np.uint8}
+    size = r.integers(0, 4, 5000).astype(np.uint8)
+    parts = {"code": np.arange(5000, dtype=np.uint32), "size": size, "bytes": r.integers(0, 256, int(size.sum())).astype(np.uint8)}
+    at = np.concatenate(([0], np.cumsum(size.astype(int))))
+    for n in (3, 10**6, 10**12):
+        bucket = r.integers(0, n, 5000)
+        got = _deal.blobs(bucket, kinds, parts)
+        assert len(got) == len(np.unique(bucket)) <= 5000
+        for i in range(0, len(got), 97):
+            x = _deal.joined(got.slice(i, 1), kinds)
+            own = np.flatnonzero(bucket == got["bucket"][i].as_py())
+            assert x["code"].tolist() == own.tolist() and x["bytes"].tobytes() == b"".join(parts["bytes"][at[o] : at[o + 1]].tobytes() for o in own)
+
+
+def test_bwt_dedup_with_repeated_ids_and_two_levels(spark, odd, monkeypatch):
+    a, b = prose(900, 60), prose(901, 60)
+    texts = odd_texts() + [(1000, a), (1000, b), (1000, b), (1001, a + " z"), (1002, "q " + b), (1002, a), (1003, None)]
+    first = {}
+
+    def gone(d, t):
+        x = (t or "").encode()
+        out = np.zeros(len(x), bool)
+        for i in range(len(x) - 49):
+            if first.get(x[i : i + 50], d) < d:
+                out[i : i + 50] = True
+        return (d, len(x), int(out.sum()), hashlib.sha256(bytes(c for c, g in zip(x, out, strict=True) if not g)).hexdigest())
+
+    for d, t in sorted(texts, key=lambda x: x[0]):
+        x = (t or "").encode()
+        for i in range(len(x) - 49):
+            first.setdefault(x[i : i + 50], d)
+    want = sorted(gone(d, t) for d, t in texts)
+    df = spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
+    no_id = spark.createDataFrame(rows([(None, a)]), SCHEMA)
+    for direct in (2048, 16):
+        monkeypatch.setattr(_deal, "DIRECT", direct)
+        monkeypatch.setattr(_deal, "FLUSH", 3000)
+        got = bwt_dedup.remove_repeats(df.unionByName(no_id)).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_bwt_dedup_equals_brute_force_on_a_table(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.op6_repeats(spark, sf_small).collect()}
+    assert got == removed([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
