@@ -10,7 +10,8 @@ with a smaller id.
    Anchors choose what travels; they decide nothing.
 2. *Strings.*  The bytes around each occurrence of the anchors that are left, as far
    as its windows reach, go to the anchor's bucket, equal strings of a chunk once.
-3. *Merging.*  A bucket's distinct strings are cut into shards.  Each shard's suffixes
+3. *Merging.*  A bucket's distinct strings, but for those that share no more than the
+   anchor with any other, are cut into shards.  Each shard's suffixes
    are sorted and give its transform.  All transforms are merged at once by refining
    an interleave: one stable pass by symbol sorts it by more symbols, and the borders
    between different prefixes are carried along.  After ``LENGTH`` symbols the
@@ -54,10 +55,14 @@ from .ngram_join import _part, _runs
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, SEED = 50, 20
+#: Bytes that every window reaches beyond its anchor, on one side at least.
+HALF = (LENGTH - SEED) // 2
 #: Anchors of a bucket; bytes of text per bucket of strings; bytes of a shard.
 BUCKET, STRINGS, SHARD = 1_000_000, 4 << 20, 1 << 19
 #: Text bytes handled at once.
 CHUNK = 2 << 20
+#: Symbols by which suffixes are compared as one number.
+AHEAD = 8
 #: The symbol that ends a string; no UTF-8 text has this byte.
 END = 0xFF
 
@@ -121,7 +126,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
 #: What travels: an anchor and its text; an occurrence with its string, which comes with the first of a chunk only.
 _ANCHOR = {"code": np.uint64, "key": np.int64}
-_STRING = {"whole": np.uint64, "id": np.int64, "key": np.int64, "number": np.uint32, "size": np.uint8, "bytes": np.uint8}
+_STRING = {"whole": np.uint64, "id": np.int64, "key": np.int64, "number": np.uint32, "left": np.uint8, "size": np.uint8, "bytes": np.uint8}
 
 
 def _split(n: int):
@@ -130,16 +135,23 @@ def _split(n: int):
     def run(bucket: np.ndarray, x: dict) -> tuple[np.ndarray, dict]:
         known = bucket >= n
         code, key = x["code"][~known], x["key"][~known]
-        order = np.lexsort((key, code))
+        order = np.argsort(code)
         code, key = code[order], key[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
-        code, key = code[new], key[new]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
         per = np.diff(np.concatenate((first, [len(code)])))
-        several = np.repeat(per > 1, per)
-        out = {"code": np.concatenate((code[first], code[several], x["code"][known])), "key": np.concatenate((key[first], key[several], x["key"][known]))}
-        return np.concatenate(((code[first] >> _U(32)).astype(np.int64), n + _part(key[several], n), bucket[known])), out
+        more = np.repeat(per > 1, per)
+        # Only anchors that stand more than once need a look at their texts.
+        c, k = code[more], key[more]
+        order = np.lexsort((k, c))
+        c, k = c[order], k[order]
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
+        c, k = c[new], k[new]
+        other = c[1:] == c[:-1]
+        several = np.concatenate((other, [False])) | np.concatenate(([False], other)) if len(c) else np.zeros(0, bool)
+        c, k = c[several], k[several]
+        out = {"code": np.concatenate((code[first], c, x["code"][known])), "key": np.concatenate((key[first], k, x["key"][known]))}
+        return np.concatenate(((code[first] >> _U(32)).astype(np.int64), n + _part(k, n), bucket[known])), out
 
     return run
 
@@ -205,29 +217,27 @@ def _strings(n_anchor_buckets: int, n_buckets: int, to: _deal.Deal):
                         keep[a:b] = s[p] == code[a:b]
                 key = keys[at : at + len(c)]
                 at += len(c)
-                h, lo, hi, doc, number = (x[keep] for x in (h, lo, hi, doc, number))
+                h, place, lo, hi, doc, number = (x[keep] for x in (h, place, lo, hi, doc, number))
                 if not len(h):
                     continue
                 size = hi + LENGTH - lo
                 whole = span_hash(prefix_hash(c.data), lo, lo + size)
-                # An anchor's strings all go to its bucket, so equal ones of one anchor do.
+                # Equal strings have equal anchors, so they share their bucket.
                 bucket = (h % _U(n_buckets)).astype(np.int64)
-                order = np.lexsort((whole, bucket))
-                new = np.ones(len(order), bool)
-                new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])
-                first = np.sort(order[new])
+                first = np.unique(whole, return_index=True)[1]
+                first.sort()
                 brought = np.zeros(len(h), np.uint8)
                 brought[first] = size[first]
-                yield to.sent(bucket, {"whole": whole, "id": np.asarray(c.ids)[doc], "key": key[doc], "number": number, "size": brought, "bytes": c.data[csr_gather(lo[first], size[first])]})
+                yield to.sent(bucket, {"whole": whole, "id": np.asarray(c.ids)[doc], "key": key[doc], "number": number, "left": (place - lo).astype(np.uint8), "size": brought, "bytes": c.data[csr_gather(lo[first], size[first])]})
 
     return run
 
 
 class Transform:
-    """The Burrows-Wheeler transform of some strings, each ended by ``END``: symbols before the sorted suffixes, and the suffixes' places."""
+    """The Burrows-Wheeler transform of some strings, each ended by ``END``: symbols before the sorted suffixes, the suffixes' places and first ``AHEAD`` symbols."""
 
-    def __init__(self, symbols: np.ndarray, places: np.ndarray):
-        self.symbols, self.places = symbols, places
+    def __init__(self, symbols: np.ndarray, places: np.ndarray, heads: np.ndarray):
+        self.symbols, self.places, self.heads = symbols, places, heads
 
     @classmethod
     def of(cls, data: np.ndarray, depth: int, base: int = 0) -> Transform:
@@ -237,8 +247,8 @@ class Transform:
         """
         n = len(data)
         padded = np.concatenate((data, np.full(8, END, np.uint8)))
-        key = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-        width = 8
+        key = heads = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
+        width = AHEAD
         while True:
             order = np.argsort(key)
             s = key[order]
@@ -251,7 +261,7 @@ class Transform:
             ahead[: n - step] = rank[step:]
             key = rank << _U(32) | ahead
             width += step
-        return cls(_pairs(data)[order], order + base)
+        return cls(_pairs(data)[order], order + base, heads[order])
 
 
 def _pairs(data: np.ndarray) -> np.ndarray:
@@ -262,18 +272,22 @@ def _pairs(data: np.ndarray) -> np.ndarray:
 def merge(parts: list[Transform], depth: int) -> tuple[Transform, np.ndarray]:
     """The transform of all parts, and the borders: where the first ``depth`` symbols differ from the suffix before.
 
-    ``source`` says which transform each merged suffix comes from.  A stable pass
-    by the two symbols before each suffix puts the suffixes two symbols longer in
-    order, so after half as many passes they are sorted by ``depth`` (even)
-    symbols.  ``block`` numbers the runs of equal prefixes so far.
+    ``source`` says which transform each merged suffix comes from.  The first
+    interleave merges the sorted runs by ``AHEAD`` symbols.  A stable pass by the two
+    symbols before each suffix puts the suffixes two symbols longer in order, until
+    they are sorted by ``depth`` (even) symbols.  ``block`` numbers the runs of equal
+    prefixes so far.
     """
-    given = np.concatenate([p.symbols for p in parts])
+    given, heads = np.concatenate([p.symbols for p in parts]), np.concatenate([p.heads for p in parts])
     n = len(given)
     source = np.repeat(np.arange(len(parts), dtype=np.uint8 if len(parts) < 256 else np.uint16), [len(p.symbols) for p in parts])
-    block = np.zeros(n, np.int32)
+    order = np.argsort(heads, kind="stable")
+    source, heads = source[order], heads[order]
+    border = np.ones(n, bool)
+    np.not_equal(heads[1:], heads[:-1], out=border[1:])
+    block = np.cumsum(border, dtype=np.int32)
     symbols = np.empty(n, np.uint16)
-    border = np.zeros(n, bool)
-    for _ in range(depth // 2):
+    for _ in range((depth - AHEAD) // 2):
         # Within each transform the suffixes keep their order.
         symbols[np.argsort(source, kind="stable")] = given
         order = np.argsort(symbols, kind="stable")
@@ -287,7 +301,7 @@ def merge(parts: list[Transform], depth: int) -> tuple[Transform, np.ndarray]:
     symbols[at] = given
     places = np.empty(n, np.int64)
     places[at] = np.concatenate([p.places for p in parts])
-    return Transform(symbols, places), border
+    return Transform(symbols, places, np.zeros(0, np.uint64)), border
 
 
 def repeated(strings: np.ndarray, sizes: np.ndarray, depth: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
@@ -313,18 +327,40 @@ def repeated(strings: np.ndarray, sizes: np.ndarray, depth: int, shard: int = SH
     return whole.places, np.cumsum(border)
 
 
+def _half_alike(text: np.ndarray, anchor: np.ndarray, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Strings that share their anchor and the ``HALF`` bytes on one side of it with another string.
+
+    A window reaches that far on one side of its anchor at least, so the others have no
+    window in common with any string: they needn't be merged.
+    """
+    p, out = prefix_hash(text), np.zeros(len(size), bool)
+    for able, lo, hi in ((left >= HALF, -HALF, SEED), (size - left - SEED >= HALF, 0, SEED + HALF)):
+        some = np.flatnonzero(able)
+        _, inv, count = np.unique(span_hash(p, anchor[some] + lo, anchor[some] + hi), return_inverse=True, return_counts=True)
+        out[some] |= count[inv] > 1
+    return out
+
+
 def _found(bucket: int, x: dict) -> pa.Table:
     """Windows of a bucket's strings that an earlier document has, as masks by text."""
     brought = np.flatnonzero(x["size"])
-    whole, size = x["whole"][brought], x["size"][brought].astype(np.int64)
+    whole, size, left = x["whole"][brought], x["size"][brought].astype(np.int64), x["left"][brought].astype(np.int64)
     at = np.concatenate(([0], np.cumsum(size)))[:-1]
     # Equal strings are one; its smallest document stands for it.
     whole, first = np.unique(whole, return_index=True)
-    at, size = at[first], size[first]
-    which = np.searchsorted(whole, x["whole"])
-    ids = x["id"]
-    least = np.full(len(whole), np.iinfo(np.int64).max)
+    at, size, left = at[first], size[first], left[first]
+    which, ids, key, number = np.searchsorted(whole, x["whole"]), x["id"], x["key"], x["number"]
+    least, most = np.full(len(whole), np.iinfo(np.int64).max), np.full(len(whole), np.iinfo(np.int64).min)
     np.minimum.at(least, which, ids)
+    np.maximum.at(most, which, ids)
+    # Strings of one document that are like no other go, with their occurrences.
+    keep = (least < most) | _half_alike(x["bytes"], at + left, left, size)
+    new = np.cumsum(keep) - 1
+    stays = keep[which]
+    which, ids, key, number = new[which[stays]], ids[stays], key[stays], number[stays]
+    at, size, least = at[keep], size[keep], least[keep]
+    if not len(size):
+        return pa.table({"id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "number": pa.array([], pa.binary()), "mask": pa.array([], pa.binary())})
     # The windows of all strings, by string: the smallest document that has each, from the intervals.
     windows = size - LENGTH + 1
     w_at = np.concatenate(([0], np.cumsum(windows)))
@@ -352,7 +388,6 @@ def _found(bucket: int, x: dict) -> pa.Table:
         gone = smallest[w] < np.repeat(ids[mine], per)
         mask[mine] = np.bitwise_or.reduceat(gone.astype(np.uint64) << bit.astype(np.uint64), first)
     some = np.flatnonzero(mask)
-    number, key = x["number"], x["key"]
     some = some[np.lexsort((number[some], key[some], ids[some]))]
     doc, key = ids[some], key[some]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
