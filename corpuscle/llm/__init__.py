@@ -19,10 +19,16 @@ _QUERIES = {
 }
 
 
+#: Queries beside these, with the name of their SQL.
+_MORE = {"license_base": ("license_join", "BASE_SQL")}
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__name__}.{module}"), name) for name, module in _QUERIES.items()}
+    modules = _QUERIES | {name: module for name, (module, _) in _MORE.items()}
+    return {name: getattr(import_module(f"{__name__}.{module}"), name) for name, module in modules.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(import_module(f"{__name__}.{module}"), "ORACLE_SQL", None) for name, module in _QUERIES.items()}
+    found |= {name: getattr(import_module(f"{__name__}.{module}"), sql) for name, (module, sql) in _MORE.items()}
     return {name: sql for name, sql in found.items() if sql}

@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    A temporary one is set only where neither that setting nor the context names
-    any, as in tests on one machine.
+    Where neither that setting nor the context names any, a temporary one is made in
+    a local session, as in tests; on a cluster it is an error, since executors could
+    not share it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscle-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpuscle-"))
     return context.getCheckpointDir()
 
 
@@ -48,3 +52,9 @@ def packed(df: DataFrame) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str], **instead) -> DataFrame:
     """The columns of ``row`` again, some of them replaced."""
     return df.select(*(instead.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete what a run has written under the shared folder and nobody reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -225,8 +225,6 @@ class Bpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text, added tokens included."""
-        if len(self.known) > MEMORY:
-            self._forget()
         if self.split_added is not None and any(t in text for t in self.added):
             out = []
             for k, part in enumerate(self.split_added.split(text)):
@@ -238,9 +236,15 @@ class Bpe:
         return self._ids(text)
 
     def _ids(self, text: str) -> np.ndarray:
-        codes = np.array(list(map(self.known.__getitem__, self.pretokens(text))), np.int64)
-        lo = self._start[codes]
-        return self._flat[csr_gather(lo, self._start[codes + 1] - lo)]
+        pieces, out = self.pretokens(text), []
+        # A very long text goes by parts, so that it can't outgrow the memory of pretokens.
+        for at in range(0, len(pieces), MEMORY):
+            if len(self.known) > MEMORY:
+                self._forget()
+            codes = np.array(list(map(self.known.__getitem__, pieces[at : at + MEMORY])), np.int64)
+            lo = self._start[codes]
+            out.append(self._flat[csr_gather(lo, self._start[codes + 1] - lo)])
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.int32), *out])
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         lo = self.offset[ids]
@@ -259,24 +263,34 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def load(path: str) -> Bpe:
-    """The vocabulary at ``path``, read once a process."""
+def load(path: str, shipped=None) -> Bpe:
+    """The vocabulary at ``path``, built once a process; from the shipped file where there is one."""
     if path not in _LOADED:
-        with open(path, encoding="utf-8") as f:
-            _LOADED[path] = Bpe(f.read())
+        if shipped is not None:
+            _LOADED[path] = Bpe(shipped.value)
+        else:
+            with open(path, encoding="utf-8") as f:
+                _LOADED[path] = Bpe(f.read())
     return _LOADED[path]
 
 
+def _shipped(spark: SparkSession, path: str):
+    """The vocabulary file (1.5 MB, whatever the table), so that only the driver needs the path."""
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, with ``ids`` the token ids and with ``digests`` the hashes of ids and decoded text.
 
-    One pass without any shuffle; the vocabulary (1.5 MB) is read from ``path``
-    once per Python worker.
+    One pass without any shuffle; the vocabulary (1.5 MB) is read from ``path`` on the
+    driver and sent once to each executor.
     """
     path = path or vocabulary_path()
+    file = _shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, file)
         for whole in batches:
             data, offsets, _ = _buffers(whole.column(1))
             data = memoryview(data)
@@ -308,9 +322,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True,
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``text`` from ``doc_id`` and ``ids``; null ids give a null text, unknown ids raise."""
     path = path or vocabulary_path()
+    file = _shipped(tokens.sparkSession, path)
 
     def run(batches):
-        bpe = load(path)
+        bpe = load(path, file)
         for batch in batches:
             texts = []
             for x in batch.column(1).to_pylist():

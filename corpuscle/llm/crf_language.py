@@ -8,8 +8,9 @@ the one with the largest sum of them, its score that sum's share.
 
 Training maximises the conditional likelihood on sequences put together from
 segments of different languages, so that transitions see switches.  The sample:
-``SAMPLE`` documents at most, by a hash of the id, and ``SEGMENTS`` segments of
-``LENGTH`` words of each.  Prediction reads every whole text, in one pass without
+``SAMPLE`` documents by a hash of the id, the same number for each language (``LEAST`` at
+least), and ``SEGMENTS`` segments of ``LENGTH`` words of each, from its beginning,
+middle and end.  Prediction reads every whole text, in one pass without
 a shuffle; all sequences of a chunk advance together.
 
 Only texts and non-null labels of the learning fold are learned from; lang, source
@@ -27,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import crc_mod, table
+from ._spark import crc_mod, cut, table
 from ._text import LOWER, Chunk, chunks, csr_gather, mix, prefix_hash, span_hash, words
 
 #: Documents of the training sample, at most; segments of each and their words.
 SAMPLE, SEGMENTS, LENGTH = 6000, 3, 24
+#: Documents of the sample that each language has at least, if there are so many.
+LEAST = 100
 #: Rows of the table of weights (a power of 2).
 ROWS = 1 << 16
 EPOCHS = 5
@@ -198,13 +201,23 @@ def training_segments(docs: DataFrame) -> list[tuple[str, bytes]]:
                         lo = int(first[i]) + (0 if n <= LENGTH else (n - LENGTH) * j // max(1, SEGMENTS - 1))
                         hi = min(lo + LENGTH, int(first[i + 1]))
                         names.append(lang[at + i])
-                        parts.append(b" ".join(c.data[s[k] : e[k]].tobytes()[:64] for k in range(lo, hi)))
+                        parts.append(b" ".join(c.data[s[k] : e[k]].tobytes() for k in range(lo, hi)))
                 at += len(c)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
-    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    few = learn.select(F.xxhash64(F.lit(31), F.col("doc_id")).alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "id")
-    rows = learn.join(F.broadcast(few.select("id").distinct()), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang").mapInArrow(run, "lang string, part binary")
+    learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    # Every language that can be learned gets its part of the sample, however rare it is.
+    sizes = learn.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    sizes = cut(sizes)
+    each = max(LEAST, SAMPLE // max(1, sizes.count()))
+    place = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id")), F.lit(1 << 40))
+    # A share by the hash first, so that no language's rows ever meet in one task.
+    near = learn.select("doc_id", "lang", place.alias("h")).join(sizes, F.col("lang") == F.col("l")).where(F.col("h") < F.lit(float(1 << 40)) * (2 * each + 20) / F.col("n"))
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= each)
+    few = F.broadcast(few.select(F.col("doc_id").alias("id"), F.col("lang").alias("id_lang")).distinct())
+    rows = learn.join(few, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("id_lang"))).select("doc_id", "text", "lang")
+    # Of rows that repeat an id and a language one is learned from.
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang").mapInArrow(run, "lang string, part binary")
     return sorted((r["lang"], bytes(r["part"])) for r in rows.collect())
 
 

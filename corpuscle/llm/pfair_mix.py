@@ -188,14 +188,15 @@ def mixed_documents(docs: DataFrame, weights: dict | None = None, block: int = B
     """
     plan = places(docs, weights, block, seed).select("mix_id", (F.col("mix_slot") * block + F.col("mix_position")).alias("mix_at"))
     rows = packed(docs).join(plan, F.col("row.doc_id") == F.col("mix_id"), "left")
-    rows = rows.select("row", F.coalesce("mix_at", F.lit(1 << 62)).alias("at"), F.col("row.doc_id").alias("id"))
+    # Many rows may lack an id, so a hash deals them to several ranges.
+    rows = rows.select("row", F.coalesce("mix_at", F.lit(1 << 62)).alias("at"), F.xxhash64("row").alias("id"))
     return unpacked(rows.repartitionByRange("at", "id").sortWithinPartitions("at", "id"), docs.columns)
 
 
 def with_places(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``rows`` (by ``doc_id``) with ``mix_slot`` and ``mix_position`` in the mixture of ``docs``, in its order; null, and last, without a doc_id."""
     rows = rows.join(places(docs), F.col("doc_id") == F.col("mix_id"), "left").drop("mix_id")
-    order = [F.col("mix_slot").asc_nulls_last(), F.col("mix_position").asc_nulls_last(), F.col("doc_id")]
+    order = [F.col("mix_slot").asc_nulls_last(), F.col("mix_position").asc_nulls_last(), F.col("doc_id"), F.xxhash64(*(c for c in rows.columns if c != "ids"))]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 

@@ -5,25 +5,28 @@
    runs of marks, masked words) are further voters, and "no voter spoke" votes
    for clean.  A voter fires or abstains.
 2. *Generative label model.*  Expectation-maximisation estimates how often each
-   voter fires in toxic and in clean texts, and the class balance, with the
-   given labels as one more, imperfect voter.  Voters that fire together more
-   than their rates explain (beginnings of one another, say) are correlated;
-   each counts with the inverse of its correlations' sum, so that a crowd of
-   copies has one voice.
+   voter fires in toxic and in clean texts, and the class balance, over texts with and
+   without a given label.  The given labels are one more voter, whose rates are
+   estimated too.  Voters that fire together more than their rates explain
+   (beginnings of one another, say) are correlated; each counts with the inverse of
+   its correlations' sum, so that a crowd of copies has one voice.
 3. *Linear classifier.*  A logistic regression on the voters' firings, their
-   density and text statistics is trained on the label model's posteriors; it
-   scores every whole text.
+   density and text statistics is trained on the label model's posteriors of all
+   these texts, mostly unlabelled ones where labels are few; it scores every whole text.
 
-The sample: ``SAMPLE`` labelled rows at most, by a hash of the id.  Everything that
-comes to the driver is bounded by it.  Scoring is one pass without a shuffle.
+The sample: ``SAMPLE`` labelled and ``UNLABELLED`` other texts at most, the first by a hash
+of the id, one text an id, none of the held-out fold.  It is read once and kept;
+everything that comes to the driver is bounded by it.  Scoring is one pass without a
+shuffle.
 
 Labels, lang, source and doc_id are no inputs of a score.
 
 Results for odd input: a null text counts as empty, and empty texts get a score
 too; labels that are null or neither 0 nor 1 are not learned from; without labels
 of both kinds the score is the share of toxic labels (0 without any); repeated
-rows get equal scores; an empty table gives an empty table; other columns are
-ignored.
+rows get equal scores, and of rows that repeat an id one is learned from; very long
+texts are taken whole; rows without a doc_id are scored and not learned from; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import crc_mod, table
+from ._spark import crc_mod, cut, table
 from ._text import ALNUM, LOWER, Chunk, chunks, mix, prefix_hash, span_hash, words
 
-#: Labelled rows that the model is fitted on, at most.
-SAMPLE = 20_000
+#: Labelled and unlabelled texts that the model is fitted on, at most.
+SAMPLE, UNLABELLED = 20_000, 10_000
 #: Lexicon voters, at most.
 VOTERS = 384
 #: Lengths in bytes of the word beginnings that may become voters.
@@ -48,8 +51,12 @@ STARTS = (4, 5, 6)
 PRECISION = 0.75
 #: Log-likelihood ratio, against the share of toxic texts, that a lexicon voter has at least: rarer words are chance.
 EVIDENCE = 11.0
-#: Trust in a given label.
-TRUST = 0.97
+#: Trust in a given label to start from, and how many texts that belief is worth.
+TRUST, BELIEF = 0.97, 20
+#: What a text without a label counts for, beside one with a label.
+OTHERS = 0.25
+#: What it counts that some voter spoke, beside what that voter says: the choice of voters makes them look purer than they are.
+SILENCE = 0.5
 
 _U = np.uint64
 PATTERNS = ("shouting", "marks", "masked", "short")
@@ -81,11 +88,17 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owner), stats
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """``doc_id``, ``text`` and ``toxic`` of ``n`` labelled rows at most, outside the held-out fold."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64(F.lit(23), F.col("doc_id")), "doc_id").limit(n)
-    return docs.select("doc_id", "text").join(F.broadcast(rows.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+def training_sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, more: int = UNLABELLED) -> DataFrame:
+    """``doc_id``, ``text`` and ``toxic`` (-1 without a label) of the texts to learn from, outside the held-out fold, kept."""
+    open_fold = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)
+    first = lambda df, k: df.orderBy(F.xxhash64(F.lit(23), F.col("doc_id")), "doc_id").limit(k)
+    given = labels.where(F.col("toxic").isin(0, 1) & open_fold).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # The first ids of the table, as many as suffice beside all labelled ones that may be among them.
+    others = first(docs.where(open_fold).select("doc_id").distinct(), n + more)
+    others = first(others.join(given, "doc_id", "left_anti"), more).withColumn("toxic", F.lit(-1))
+    chosen = cut(first(given, n).unionByName(others)).withColumnRenamed("doc_id", "id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return cut(rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"), F.first("toxic").alias("toxic")).select("doc_id", "x.text", "toxic"))
 
 
 def _with_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray]]:
@@ -115,7 +128,7 @@ def _lexicon(sample: DataFrame) -> tuple[np.ndarray, int, int]:
     pos, neg = sample.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not pos or not neg:
         return np.zeros(0, np.uint64), pos, neg
-    counted = sample.mapInArrow(count, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sample.where("toxic >= 0").mapInArrow(count, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = F.col("pos") / F.lit(float(pos)) - F.col("neg") / F.lit(float(neg))
     base, part = pos / (pos + neg), F.col("pos") / (F.col("pos") + F.col("neg"))
     evidence = F.col("pos") * F.log(part / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - part) / (1 - base))).otherwise(0.0)
@@ -142,35 +155,53 @@ def _fired(chunk: Chunk, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class LabelModel:
     """Class-conditional firing rates of correlated voters, by expectation-maximisation."""
 
-    def fit(self, fired: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
-        """Posterior probability of toxic for each row; ``given`` is 0, 1 or -1 where unknown."""
+    def fit(self, fired: np.ndarray, given: np.ndarray, silent: int | None = None, rounds: int = 25) -> np.ndarray:
+        """Posterior probability of toxic for each row; ``given`` is 0, 1 or -1 where unknown.
+
+        Voter ``silent`` speaks when no other does; when others speak, it counts for
+        ``SILENCE`` of what it would.
+        """
         x = fired.astype(float)
+        self.silence = np.ones(x.shape[1])
+        if silent is not None:
+            self.silence[silent] = SILENCE
         # Rows without a label start from how many voices speak, a crowd of copies as one.
         r = x - x.mean(0)
         d = np.sqrt(np.maximum((r * r).sum(0), 1e-9))
         alike = r.T @ r / d[:, None] / d[None, :]
         voices = x @ (1 / np.maximum(1, np.where(alike > 0.5, alike, 0).sum(1)))
-        y = np.where(given < 0, voices / (voices + 1), np.where(given == 1, TRUST, 1 - TRUST))
-        for _ in range(rounds):
-            w1, w0 = y.sum() + 2, (1 - y).sum() + 2
+        y = np.where(given < 0, 0.2 * voices / (voices + 1), np.where(given == 1, TRUST, 1 - TRUST))
+        known, said = given >= 0, (given == 1).astype(float)
+        # The labelled texts give the first rates; then the others count for a part each.
+        part = np.where(known, 1.0, OTHERS) if known.any() else np.ones(len(x))
+        for k in range(rounds):
+            u = known.astype(float) if known.any() and k < 2 else part
+            w1, w0 = (u * y).sum() + 2, (u * (1 - y)).sum() + 2
             self.balance = w1 / (w1 + w0)
-            self.toxic, self.clean = (x.T @ y + 0.05) / w1, (x.T @ (1 - y) + 0.05) / w0
+            self.toxic, self.clean = (x.T @ (u * y) + 0.05) / w1, (x.T @ (u * (1 - y)) + 0.05) / w0
+            # How often a label says toxic in toxic and in clean texts.
+            self.said = tuple((BELIEF * t + (said * p)[known].sum()) / (BELIEF + p[known].sum()) for t, p in ((TRUST, y), (1 - TRUST, 1 - y)))
             # Correlation within the classes: what is left of joint firings beyond both rates.
             r = x - np.outer(y, self.toxic) - np.outer(1 - y, self.clean)
-            c = r.T @ r
+            c = r.T @ (u[:, None] * r)
             d = np.sqrt(np.maximum(np.diag(c), 1e-9))
             self.correlation = c / d[:, None] / d[None, :]
             self.weight = 1 / np.maximum(1, np.where(self.correlation > 0.1, self.correlation, 0).sum(1))
-            logit = np.log(self.balance / (1 - self.balance)) + x @ (self.weight * (np.log(self.toxic) - np.log(self.clean)))
-            logit += (1 - x) @ (self.weight * (np.log1p(-np.minimum(self.toxic, 0.999)) - np.log1p(-np.minimum(self.clean, 0.999))))
-            logit += np.where(given < 0, 0.0, np.where(given == 1, 1.0, -1.0)) * np.log(TRUST / (1 - TRUST))
-            new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            if np.abs(new - y).max() < 1e-4:
-                y = new
-                break
+            new = self.posterior(x, given)
+            done = k > 2 and np.abs(new - y).max() < 1e-4
             y = new
+            if done:
+                break
         return y
 
+    def posterior(self, x: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Probability of toxic under the rates, each voter to the power of its weight, the given label as it is."""
+        logit = np.log(self.balance / (1 - self.balance)) + x @ (self.weight * (np.log(self.toxic) - np.log(self.clean)))
+        logit += (1 - x) @ (self.silence * self.weight * (np.log1p(-np.minimum(self.toxic, 0.999)) - np.log1p(-np.minimum(self.clean, 0.999))))
+        t, c = np.clip(self.said, 1e-3, 1 - 1e-3)
+        logit += np.where(given < 0, 0.0, np.where(given == 1, np.log(t / c), np.log((1 - t) / (1 - c))))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
 
 def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 25, l2: float = 0.3) -> np.ndarray:
     """Weights of a logistic regression on soft labels; the first column of ``x`` is constant."""
@@ -206,7 +237,7 @@ class Model:
         fired = np.unpackbits(np.frombuffer(b"".join(got["fired"].to_pylist()), np.uint8).reshape(len(got), -1), axis=1)[:, :n]
         given = got["toxic"].to_numpy()
         self.labels = LabelModel()
-        y = self.labels.fit(fired, given)
+        y = self.labels.fit(fired, given, n - 1)
         self.weights = _regress(np.hstack((np.ones((len(got), 1)), fired, np.array(got["more"].to_pylist(), float))), y)
 
     def score(self, chunk: Chunk) -> np.ndarray:
@@ -218,7 +249,7 @@ class Model:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
-    model = Model(labelled_sample(docs, labels))
+    model = Model(training_sample(docs, labels))
     model.labels = None
 
     def run(batches):
@@ -231,7 +262,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns; one pass without a shuffle."""
-    model = Model(labelled_sample(docs, labels))
+    model = Model(training_sample(docs, labels))
     model.labels = None
     at = docs.columns.index("text")
 

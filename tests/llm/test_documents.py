@@ -426,3 +426,121 @@ def test_bwt_dedup_equals_brute_force_on_a_table(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.op6_repeats(spark, sf_small).collect()}
     assert got == removed([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_positional_filter_skips_places_and_loses_nothing(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(14)]
+    templates = (("t", " ".join(vocabulary[:10])), ("u", " ".join(vocabulary[4:9])), ("none", ""))
+    vocab = license_join.vocabulary(templates, {})
+    counts = [i + 1 for i in range(len(vocab))]
+    plan = license_join.Plan(vocab, counts, templates, 0.75)
+    for _ in range(400):
+        text = [r.choice(vocabulary + ["x"] * 8) for _ in range(r.randint(0, 30))]
+        codes = np.array([vocab.index(w) if w in vocab else -1 for w in text], np.int64)
+        got = {}
+        for at in np.flatnonzero(plan.rare[codes]).tolist() if len(codes) else []:
+            for label, part in plan.blocks(codes, 0, len(codes), at):
+                got[label] = max(got.get(label, 0), part)
+        want = {}
+        for label, t in templates[:2]:
+            members = set(t.split())
+            width = -(-3 * len(members) // 2)
+            best = max((len(members & set(text[i : i + width])) / len(members) for i in range(len(text))), default=0)
+            if best >= 0.75 - 1e-9 and best * len(members) >= -(-75 * len(members) // 100):
+                want[label] = best
+        assert got == want
+    assert plan.skipped > 100
+
+
+def test_license_templates_from_a_table(spark):
+    table = spark.createDataFrame([("mine", "Do what YOU like, with this fine text!"), (None, "x"), ("empty", None)], "label string, text string")
+    docs = spark.createDataFrame(rows([(1, "so do what you like with this fine text now"), (None, "under the mit license"), (2, None)]), SCHEMA)
+    got = {r.doc_id: r for r in license_join.scan_licenses(docs, table).collect()}
+    assert got[1].labels == "mine" and got[1].score == 1.0 and got[None].base_labels == "mit" and got[2].labels == ""
+
+
+def test_license_base_sql(spark, sf_small):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf_small}/documents.parquet')")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    want = con.sql(f"select {', '.join(names)} from ({license_join.BASE_SQL})").fetchall()
+    assert sorted(tuple(r) for r in license_join.license_base(spark, sf_small).select(*names).collect()) == sorted(want) and any(x[2] for x in want)
+
+
+def test_posterior_and_score_equal_brute_force(spark):
+    """The label model's posterior by products over the voters, and the score by looking every word up."""
+    import math
+
+    from corpuscle.llm import _text
+
+    docs, labels = labelled_docs(400)
+    given = [x for x in labels if x[0] % 3]
+    df = spark.createDataFrame(rows(docs), SCHEMA)
+    sample = weak_toxicity.training_sample(df, spark.createDataFrame(given, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.toxic for r in sample.collect()}
+    assert -1 in got.values() and all(zlib.crc32(str(d).encode()) % 5 for d in got)
+    assert {d: t for d, t in got.items() if t >= 0} == {d: t for d, _, t in given if zlib.crc32(str(d).encode()) % 5}
+    model = weak_toxicity.Model(sample)
+    m = model.labels
+    r = random.Random(3)
+    for _ in range(30):
+        x, label = [r.randint(0, 1) for _ in m.toxic], r.choice([-1, 0, 1])
+        p, q = m.balance, 1 - m.balance
+        for k, f in enumerate(x):
+            a, b = (m.toxic[k], m.clean[k]) if f else (1 - min(m.toxic[k], 0.999), 1 - min(m.clean[k], 0.999))
+            power = m.weight[k] * (1 if f else m.silence[k])
+            p, q = p * a**power, q * b**power
+        if label >= 0:
+            p, q = (p * m.said[0], q * m.said[1]) if label else (p * (1 - m.said[0]), q * (1 - m.said[1]))
+        assert math.isclose(m.posterior(np.array([x], float), np.array([label]))[0], p / (p + q), rel_tol=1e-6, abs_tol=1e-9)
+    # One word a time through the same hashes.
+    lexicon = {int(h): k for k, h in enumerate(model.lexicon)}
+    scored = {x.doc_id: x.score for x in weak_toxicity.score_documents(df, spark.createDataFrame(given, "doc_id long, quality int, toxic int")).collect()}
+    for d, t in docs[:40]:
+        votes, hits = [0] * len(lexicon), 0
+        words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(ASCII))]
+        for w in words:
+            b = np.frombuffer(w.encode(), np.uint8)
+            p = _text.prefix_hash(b)
+            one = lambda n: _text.span_hash(p, np.array([0]), np.array([n]))  # noqa: E731, B023
+            seen = [int(one(len(b))[0])] + [int(_text.mix(one(k) + np.uint64(k))[0]) for k in weak_toxicity.STARTS if len(b) >= k]
+            for h in seen:
+                if h in lexicon:
+                    votes[lexicon[h]] = 1
+                    hits += 1
+        plain = [float(len(words) < 8)]
+        fired = votes + [0.0, 0.0, 0.0, *plain] + [float(not any(votes))]
+        z = model.weights @ np.array([1.0, *fired, math.log1p(hits), math.log1p(sum(votes))])
+        assert math.isclose(scored[d], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+
+
+def test_models_with_missing_ids_long_texts_and_repeats(spark):
+    docs, labels = labelled_docs(300)
+    long = "vilest " + prose(5000, 60_000)
+    texts = [*docs, (None, docs[0][1]), (None, None), docs[1], docs[1], (7001, long), (7002, "a" * 200_000)]
+    df = spark.createDataFrame(rows(texts, langs=["en", "de"]), SCHEMA)
+    table = spark.createDataFrame([*labels, labels[1]], "doc_id long, quality int, toxic int")
+    assert weak_toxicity.score_documents(df, table).count() == len(texts) and weak_toxicity.reject_toxic(df, table).count() > 200
+    got = crf_language.identify(df).collect()
+    assert len(got) == len(texts) and {r.lang_pred for r in got} <= {"en", "de", "und"}
+    coded = {r.doc_id: r.n_tokens for r in bpe_backtrack.encode_documents(df).collect() if r.doc_id in (7001, 7002)}
+    assert coded[7001] > 60_000
+    assert license_join.scan_licenses(df).count() == len(texts)
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(crf_language, "SAMPLE", 40)
+    monkeypatch.setattr(crf_language, "LEAST", 5)
+    data = rows([(i, prose(i, 30) if i % 50 else f"ñandú qué más señor {i}") for i in range(500)])
+    data = [(*x[:2], "xx" if x[0] % 50 else "yy", *x[3:]) for x in data]
+    segments = crf_language.training_segments(spark.createDataFrame(data, SCHEMA))
+    assert {x for x, _ in segments} == {"xx", "yy"}
+
+
+def test_bpe_of_a_text_longer_than_the_memory(library, monkeypatch):
+    monkeypatch.setattr(bpe_backtrack, "MEMORY", 50)
+    bpe = bpe_backtrack.Bpe(open(bpe_backtrack.vocabulary_path(), encoding="utf-8").read())
+    text = prose(77, 900, 5000)
+    assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids and len(bpe.known) <= 101
+    assert bpe.encode("").tolist() == []

@@ -1,3 +1,4 @@
+import re
 from fractions import Fraction
 from heapq import heappop, heappush
 
@@ -130,3 +131,39 @@ def test_run_returns_the_mixture(spark, sf_small):
         for i, (*_, at) in enumerate(sorted(x)):
             assert at == (slots[s, i // pfair_mix.BLOCK], i % pfair_mix.BLOCK)
     assert sum(map(len, by.values())) == got.count() > 0
+
+
+def test_run_equals_brute_force(spark, sf_small):
+    """Every stage but the fitted one again by plain means: all pairs, plain patterns, the tokenizers library."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from corpuscle.llm import bpe_backtrack, weak_toxicity
+
+    from .test_documents import linked, spans
+
+    docs, labels = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in weak_toxicity.score_documents(docs, labels).collect() if r.predicted}
+    texts = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
+    component = linked(texts)
+    library = Tokenizer.from_file(bpe_backtrack.vocabulary_path())
+    more = [r for r in corpus_pipeline.secret_ledger.MORE]
+    want = {}
+    for d, t in texts:
+        if component[d][1] != d:
+            continue
+        t = t or ""
+        places = [(a, b) for a, _, _, b in spans(t)]
+        for rule in more:
+            places += [m.span() for m in re.finditer(rule.pattern, t) if len(m.group(rule.group)) >= rule.least]
+        out, at = "", 0
+        for a, b in sorted(places):
+            if a < at:
+                at = max(at, b)
+                continue
+            out, at = out + t[at:a] + "[SECRET]", b
+        ids = library.encode(out + t[at:], add_special_tokens=False).ids
+        want[d] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_small).collect()}
+    assert got == want and 0 < len(got) < docs.count()
