@@ -3,7 +3,13 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 kept.  All but the last return the columns of ``documents``.  Each stage's result is
 written to the shared folder and read again, which cuts the lineage: a lost
-executor costs the stage that runs, at most.
+executor costs the stage that runs, at most.  A stage's files go when its successor's
+are written.
+
+Results for odd input: a null text passes as empty; of rows that repeat a doc_id the
+stage of near duplicates keeps one (see :func:`ngram_join.keep_first`); rows without a
+doc_id pass every stage but have no place in the mixture; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm import bpe_backtrack, ngram_join, pfair_mix, secret_ledger, weak_toxicity
-from corpuscle.llm._spark import shared_folder, table
+from corpuscle.llm._spark import forget, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +59,17 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: Toxicity is a fitted model, so SQL can't give the rows; the tests hold the stages against brute force.
+#: Toxicity is a fitted model, so SQL can't give the rows; tests/llm/test_pipeline.py holds the run against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            forget(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
