@@ -115,7 +115,6 @@ def independent(top: list[tuple[str, str, float]], whole: bool, known: set[str])
 
 def train_spread(words: DataFrame, merges: int, min_count: float = 2) -> list[tuple[str, str, int]]:
     """The same merges with every word kept distributed: a pass counts the pairs of all words, and makes the merges that are independent."""
-    cut = words.sparkSession.sparkContext.getCheckpointDir()
     out, known = [], set()
     while len(out) < merges:
         top = pair_counts(words).where(F.col("n") >= min_count).orderBy(F.desc("n"), "a", "b").limit(TOP).collect()
@@ -125,7 +124,7 @@ def train_spread(words: DataFrame, merges: int, min_count: float = 2) -> list[tu
         out += found
         known |= {a + b for a, b, _ in found}
         words = words.withColumn("symbols", reduce(lambda c, m: apply_merge(c, m[0], m[1]), found, F.col("symbols")))
-        words = words.checkpoint() if cut else words.localCheckpoint()
+        words = once(words)
     return out
 
 
@@ -186,8 +185,7 @@ def merges_of(table: DataFrame) -> list[tuple[str, str, int]]:
 
 def vocabulary(spark: SparkSession, merges: list[tuple[str, str, int]]) -> DataFrame:
     """``id`` and ``token`` (hex): the 256 bytes, then each merged token at its first appearance."""
-    tokens = list(dict.fromkeys([f"{b:02X}" for b in range(256)] + [a + b for a, b, _ in merges]))
-    return spark.createDataFrame(list(enumerate(tokens)), "id int, token string")
+    return spark.createDataFrame(list(enumerate(vocabulary_list(merges))), "id int, token string")
 
 
 def missing_operands(merges: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -266,28 +264,79 @@ def encode(docs: DataFrame, merges: list[tuple[str, str, int]], whitespace: str
     return docs.withColumn("tokens", run(pieces))
 
 
-def token_ids(tokens: Column, vocab: list[str]) -> Column:
-    """Ids of tokens; null where the vocabulary lacks one."""
-    table = F.create_map(*[F.lit(x) for i, t in enumerate(vocab) for x in (t, i)])
-    return F.transform(tokens, lambda t: F.try_element_at(table, t))
+def vocabulary_list(merges: list[tuple[str, str, int]]) -> list[str]:
+    """Tokens (hex) by id: the 256 bytes, then each merged token at its first appearance."""
+    return list(dict.fromkeys([f"{b:02X}" for b in range(256)] + [a + b for a, b, _ in merges]))
+
+
+def token_ids(tokens: Column, vocab: list[str], strict: bool = False) -> Column:
+    """Ids of tokens; where the vocabulary lacks one, null, or with ``strict`` an error."""
+    known = {t: i for i, t in enumerate(vocab)}
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        def of(x):
+            if x is None:
+                return None
+            if strict and (lost := [t for t in x if t not in known]):
+                raise ValueError(f"no such token: {lost[0]}")
+            return [known.get(t) for t in x]
+
+        return s.map(of)
+
+    return run(tokens)
+
+
+def encoded(text: Column, merges: list[tuple[str, str, int]], whitespace: str = "space") -> Column:
+    """``tokens`` (hex) and ``ids`` of a text; a batch encodes each of its distinct pretokens once."""
+    rank, number = {}, {t: i for i, t in enumerate(vocabulary_list(merges))}
+    for i, (a, b, _) in enumerate(merges):
+        rank.setdefault((a, b), i)
+
+    @F.pandas_udf("tokens array<string>, ids array<int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        known: dict[str, tuple[list[str], list[int]]] = {}
+        tokens, ids = [], []
+        for pieces in s:
+            t, n = [], []
+            for piece in pieces:
+                got = known.get(piece)
+                if got is None:
+                    word = encode_word([f"{b:02X}" for b in piece.encode()], rank)
+                    got = known[piece] = (word, [number[x] for x in word])
+                t += got[0]
+                n += got[1]
+            tokens.append(t)
+            ids.append(n)
+        return pd.DataFrame({"tokens": tokens, "ids": ids})
+
+    return run(T.pretokens(text, whitespace))
 
 
 def encode_report(docs: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
     """One row a document: tokens, ids, words, token_count, fertility, decoded and roundtrip_ok, over the stripped text."""
-    vocab = list(dict.fromkeys([f"{b:02X}" for b in range(256)] + [a + b for a, b, _ in merges]))
-    rows = encode(docs.withColumn("text", T.strip("text")), merges)
+    rows = docs.withColumn("text", T.strip("text")).withColumn("_x", encoded(F.col("text"), merges))
+    rows = rows.withColumn("tokens", F.col("_x.tokens")).withColumn("ids", F.col("_x.ids")).drop("_x")
     rows = rows.withColumn("words", T.word_count("text")).withColumn("token_count", F.size("tokens").cast("long")).withColumn("decoded", T.tokens_text(F.col("tokens")))
     rows = rows.withColumn("fertility", F.try_divide("token_count", "words")).withColumn("roundtrip_ok", T.visible("decoded") == T.visible("text"))
-    return rows.withColumn("ids", token_ids(F.col("tokens"), vocab)).withColumn("tokens_display", F.transform("tokens", T.byte_display))
+    return rows.withColumn("tokens_display", F.transform("tokens", T.byte_display))
 
 
 def decode_ids(rows: DataFrame, vocab: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """``key`` and ``text`` from arrays of ids; an id that the vocabulary lacks raises."""
-    spread = rows.select(key, F.posexplode(ids).alias("pos", "id"))
-    known = spread.join(F.broadcast(vocab.select(F.col("id").alias("vocab_id"), "token")), F.col("id") == F.col("vocab_id"), "left")
-    token = F.when(F.col("token").isNull(), F.raise_error(F.concat(F.lit("no such id: "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))).otherwise(F.col("token"))
-    whole = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token")))).alias("x"))
-    return whole.select(key, T.tokens_text(F.transform("x", lambda x: x["token"])).alias("text"))
+    """``key`` and ``text`` from arrays of ids, a row a row: no ids give the empty text, null gives null; an id that the vocabulary lacks raises.
+
+    The vocabulary is one array beside the rows (as large as the vocabulary, whatever
+    the table), so nothing is exploded or shuffled.
+    """
+    entries = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("m"), F.max("id").alias("top"))
+    table = entries.select(F.transform(F.sequence(F.lit(0), "top"), lambda i: F.try_element_at("m", i)).alias("_vocab"))
+    known = rows.select(key, F.col(ids).alias("_ids")).join(F.broadcast(table))
+
+    def token(i: Column) -> Column:
+        found = F.when(i >= 0, F.get("_vocab", i))
+        return F.when(found.isNull(), F.raise_error(F.concat(F.lit("no such id: "), F.coalesce(i.cast("string"), F.lit("null"))))).otherwise(found)
+
+    return known.select(key, T.tokens_text(F.transform("_ids", token)).alias("text"))
 
 
 def decode_tokens(rows: DataFrame, tokens: str = "tokens") -> DataFrame:

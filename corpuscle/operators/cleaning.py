@@ -141,7 +141,7 @@ def shingle_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME))
 
 
-def minhash_links(docs: DataFrame, unit: list[str] | None = None) -> DataFrame:
+def minhash_links(docs: DataFrame) -> DataFrame:
     """``a``, ``b``, ``jaccard`` of verified near duplicates: all pairs ``a < b`` that share a band, among the first documents of equal texts.
 
     Equal texts collapse first.  A band's members are dealt to blocks and every two
@@ -176,11 +176,23 @@ def minhash_links(docs: DataFrame, unit: list[str] | None = None) -> DataFrame:
     return both.select("a", "b", (common / (F.size("ha") + F.size("hb") - common)).alias("jaccard")).where(F.col("jaccard") >= SIMILARITY)
 
 
+#: Hashes of benchmark grams up to which they are broadcast (8 bytes each).
+SMALL_GRAMS = 1_000_000
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """``doc_id`` and ``items`` (benchmark items that share an n-gram of words) of contaminated documents."""
+    """``doc_id`` and ``items`` (benchmark items that share an n-gram of words) of contaminated documents.
+
+    Documents' grams are met by their hashes first, against the benchmark's hashes
+    (broadcast while they are few, else by a join that carries hashes); only grams
+    that pass are compared as strings.
+    """
     grams = lambda df, key: df.select(key, F.explode(F.array_distinct(T.ngrams(T.gram_words("text"), n))).alias("g"))
-    items = grams(benchmark, "item_id")
-    return grams(docs, "doc_id").join(items, "g").groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
+    items = once(grams(benchmark, "item_id").withColumn("gh", F.xxhash64("g")))
+    hashes = items.select(F.col("gh").alias("h")).distinct()
+    hashes = F.broadcast(hashes) if items.count() <= SMALL_GRAMS else hashes
+    near = grams(docs, "doc_id").withColumn("h", F.xxhash64("g")).join(hashes, "h", "left_semi")
+    return near.select("doc_id", "g").join(items.select("g", "item_id"), "g").groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
 
 
 def quality_features(docs: DataFrame) -> DataFrame:
@@ -199,16 +211,20 @@ def quality_features(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, low: float = 0.05) -> DataFrame:
-    """``doc_id``, ``lang``, ``letters``, ``least``, ``kept``: each language's own threshold, its ``low`` quantile of the share of letters.
+    """``doc_id``, ``lang``, ``letters``, ``least``, ``kept``: each language's own threshold, its exact ``low`` quantile of the share of letters.
 
-    Shares are cut to four decimals and counted, so a language's quantile comes
-    from 10,001 counts at most, however many documents it has.
+    Counts of 10,001 bins find the bin that holds the quantile; only that bin's shares
+    are ordered, so no language's documents meet in one task.
     """
-    f = quality_features(docs).withColumn("letters", F.floor(F.col("letters") * 10000) / 10000)
-    counts = f.groupBy(F.col("lang").alias("l"), "letters").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("l")
-    below = counts.select("l", "letters", F.sum("n").over(w.orderBy("letters")).alias("up_to"), F.sum("n").over(w).alias("all"))
-    least = below.where(F.col("up_to") >= F.col("all") * low).groupBy("l").agg(F.min("letters").alias("least"))
+    f = quality_features(docs).withColumn("bin", F.floor(F.col("letters") * 10000))
+    w = Window.partitionBy("l").orderBy("bin")
+    counts = f.groupBy(F.col("lang").alias("l"), "bin").agg(F.count("*").alias("n"))
+    counts = counts.select("l", "bin", "n", F.sum("n").over(w).alias("up_to"), F.sum("n").over(Window.partitionBy("l")).alias("all"))
+    held = counts.where(F.col("up_to") >= F.col("all") * low).groupBy("l").agg(F.min(F.struct("bin", (F.col("up_to") - F.col("n")).alias("before"), "all")).alias("x"))
+    held = held.select("l", F.col("x.bin").alias("b"), "x.before", "x.all")
+    near = f.join(F.broadcast(held), F.col("lang").eqNullSafe(F.col("l")) & (F.col("bin") == F.col("b"))).groupBy("l", "before", "all", "letters").agg(F.count("*").alias("n"))
+    near = near.withColumn("up_to", F.col("before") + F.sum("n").over(Window.partitionBy("l").orderBy("letters")))
+    least = near.where(F.col("up_to") >= F.col("all") * low).groupBy("l").agg(F.min("letters").alias("least"))
     joined = f.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("l")))
     return joined.select("doc_id", "lang", "letters", "least", ((F.col("letters") >= F.col("least")) & (F.col("repeated_lines") < 0.5) & (F.col("upper") < 0.5)).alias("kept"))
 

@@ -36,6 +36,18 @@ def by_language(docs: DataFrame, merges: list, few: int = 32) -> DataFrame:
     return joined.select("lang", tokens_.alias("tokens"), "words", "faithful_units", F.try_divide(tokens_, "words").alias("fertility_w"), F.try_divide(tokens_, "faithful_units").alias("fertility_u"))
 
 
+def by_line(docs: DataFrame, merges: list, few: int = 32) -> DataFrame:
+    """The same with the tokens of non-blank lines, each encoded by itself, line ends left out."""
+    rows = docs.select("lang", F.explode(T.lines("text")).alias("text")).where(~T.is_blank("text"))
+    return by_language(rows, merges, few)
+
+
+def with_labels(rates: DataFrame, languages: DataFrame) -> DataFrame:
+    """Rates with ``label`` and ``code`` of their language; the code is its own label where the table lacks it."""
+    named = languages.select(F.col("lang").alias("code"), "label")
+    return rates.join(F.broadcast(named), F.col("lang") == F.col("code"), "left").withColumn("label", F.coalesce("label", "lang")).withColumn("code", F.col("lang"))
+
+
 def score(rates: DataFrame, col: str = "fertility_u", penalised: str = "hi", threshold: float = THRESHOLD) -> DataFrame:
     """One row: spread, raw and adjusted score, penalty, mean, languages over the threshold; undefined is null."""
     f = F.col(col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import fertility as R
+from ..sources.corpora import LANGUAGES
 from . import queries as Q
 
 _S = T.SPACE
@@ -39,6 +40,27 @@ _RATES = f"""{_CHAIN},
 tokens as (select lang, sum(counted.c * len(string_split(s[2:-2], '><')))::bigint tokens from counted join {_LAST} using (t) group by lang),
 sizes as (select lang, sum({_WORDS})::bigint words, sum({_UNITS})::bigint faithful_units from documents group by lang),
 rates as (select sizes.lang, coalesce(tokens, 0) tokens, words, faithful_units, tokens / nullif(words, 0) fertility_w, tokens / nullif(faithful_units, 0) fertility_u from sizes left join tokens on sizes.lang is not distinct from tokens.lang)"""
+_LINE_SPLIT = rf"regexp_split_to_array({_T}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+
+
+def _line_rates() -> str:
+    """Rates over non-blank lines: their pretokens go through the merges of the whole texts."""
+    lines = f"lines as materialized (select lang, text from (select lang, unnest({_LINE_SPLIT}) text from documents) where length({_VISIBLE('text')}) > 0)"
+    counted = f"spoken as materialized (select lang, t, count(*) c from (select lang, {_FOLD} t from (select lang, unnest({_PRETOKENS}) p from lines)) group by all)"
+    steps = [r"l0 as (select distinct t, regexp_replace(hex(encode(t)), '(..)', '<\1>', 'g') s from spoken)"]
+    for i in range(Q.MERGES):
+        steps.append(f"l{i + 1} as materialized (select t, case when a is null then s else replace(s, '<' || a || '><' || b || '>', '<' || a || b || '>') end s from l{i} left join b{i} on true)")
+    return f"""with {_CHAIN}, {lines}, {counted}, {', '.join(steps)},
+tokens as (select lang, sum(spoken.c * len(string_split(s[2:-2], '><')))::bigint tokens from spoken join l{Q.MERGES} using (t) group by lang),
+sizes as (select lang, sum({_WORDS})::bigint words, sum({_UNITS})::bigint faithful_units from lines group by lang)
+select sizes.lang, coalesce(tokens, 0) tokens, words, faithful_units, tokens / nullif(words, 0) fertility_w, tokens / nullif(faithful_units, 0) fertility_u from sizes left join tokens on sizes.lang is not distinct from tokens.lang"""
+
+
+def _choice() -> str:
+    rows = " union all ".join(f"select {256 + k} vocab, (select sum(c * len(string_split(s[2:-2], '><')))::bigint from w{k}) tokens" for k in (4, 8, Q.MERGES))
+    return f"with {_CHAIN}, o as ({rows}), m as (select *, coalesce(tokens / nullif((select sum({_WORDS}) from documents), 0) <= 6.0, false) meets from o) select vocab::int vocab, tokens, meets from m where meets order by vocab limit 1"
+
+
 _WEIGHTS = "weights(l, weight) as (values " + ", ".join(f"('{k}', {v})" for k, v in Q.WEIGHTS.items()) + ")"
 _STOP = lambda words: f"len(list_filter({_GRAMS}, lambda w: w in ({', '.join(repr(w) for w in words)})))"
 _SCRIPT = lambda p: f"len(regexp_extract_all({_T}, '{p}'))"
@@ -61,7 +83,7 @@ g as (select digest, min(struct_pack(doc_id := doc_id, pos := pos)) f, count(*)
 _NGRAM = lambda table, key, n: f"(select distinct {key}, array_to_string(w[i:i+{n - 1}], ' ') g from (select {key}, w, unnest(range(1, len(w) - {n - 2})) i from (select {key}, {_GRAMS} w from {table}) where len(w) >= {n}))"
 _DIRTY = f"select doc_id, count(distinct item_id) items from {_NGRAM('documents', 'doc_id', 13)} a join {_NGRAM('benchmark', 'item_id', 13)} b using (g) group by doc_id"
 _HASH60 = lambda x: f"('0x' || substr(md5({x}), 1, 15))::bigint"
-_FEATURES = rf"""f as (select doc_id, lang, floor(coalesce(len(regexp_extract_all({_T}, '\p{{L}}')) / nullif(length({_T}), 0), 0) * 10000) / 10000 letters, coalesce(len(regexp_extract_all({_T}, '\p{{Lu}}')) / nullif(length({_T}), 0), 0) upper,
+_FEATURES = rf"""f as (select doc_id, lang, coalesce(len(regexp_extract_all({_T}, '\p{{L}}')) / nullif(length({_T}), 0), 0) letters, coalesce(len(regexp_extract_all({_T}, '\p{{Lu}}')) / nullif(length({_T}), 0), 0) upper,
  1 - len(list_distinct(string_split({_T}, chr(10)))) / len(string_split({_T}, chr(10))) repeated from documents),
 least_ as (select l, min(letters) least from (select lang l, letters, count(*) over (partition by lang order by letters) up_to, count(*) over (partition by lang) n from f) where up_to >= n * 0.05::double group by l),
 kept as (select doc_id, lang, letters, least, letters >= least and repeated < 0.5 and upper < 0.5 kept from f join least_ on lang is not distinct from l)"""
@@ -104,6 +126,14 @@ def oracle_sql() -> dict[str, str]:
         "bpe_merges": f"with {_CHAIN} select rank, a, b, merged, n::bigint n from ({_MERGED})",
         "bpe_vocabulary": f"with {_CHAIN}, v as (select i, printf('%02X', i) token from range(256) r(i) union all select 256 + rank, merged from ({_MERGED})), u as (select token, min(i) i from v group by token) select (row_number() over (order by i) - 1)::int id, token from u",
         "fertility_by_language": f"with {_RATES} select * from rates",
+        "fertility_by_line": _line_rates(),
+        "vocabulary_choice": _choice(),
+        "labelled_rates": f"with {_RATES}, n(code, label) as (values {', '.join(f'({c!r}, {x!r})' for c, x, _ in LANGUAGES)}) select lang, coalesce(label, lang) as label, lang code, fertility_u from rates left join n on lang = n.code",
+        "token_lookup": f"""with {_CHAIN}, v as (select i, printf('%02X', i) token from range(256) r(i) union all select 256 + rank, merged from ({_MERGED})), ids as (select token, (row_number() over (order by min(i)) - 1) id from v group by token),
+o as (select doc_id, t, count(*) c from (select doc_id, {_FOLD} t from (select doc_id, unnest({_PRETOKENS}) p from documents)) group by all),
+w as materialized (select t, len(string_split(s[2:-2], '><')) n, list_sum(list_transform(string_split(s[2:-2], '><'), lambda x: m[x])) z from {_LAST}, (select map(list(token), list(id)) m from ids)),
+k as (select doc_id, sum(c * n)::bigint n, sum(c * z)::bigint z from o join w using (t) group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint n, coalesce(z, 0)::bigint id_sum from documents d left join k on d.doc_id = k.doc_id""",
         "fertility_score": f"""with {_RATES}, x as (select max(fertility_u) - min(fertility_u) spread, avg(fertility_u) mean_fertility, max(case when lang = 'de' then fertility_u end) p, coalesce(string_agg(lang, ',' order by lang) filter (fertility_u > {R.THRESHOLD}), '') over_ from rates)
 select spread, 1000 / nullif(spread, 0) raw_score, exp(greatest(0, coalesce(p, 0) / {R.THRESHOLD} - 1)) penalty_factor, 1000 / nullif(spread, 0) / exp(greatest(0, coalesce(p, 0) / {R.THRESHOLD} - 1)) adjusted_score, mean_fertility, over_ languages_over_threshold from x""",
         "fertility_ranking": f"with {_RATES} select lang, fertility_u, rank() over (order by fertility_u)::int place, fertility_u = min(fertility_u) over () best, fertility_u = max(fertility_u) over () worst from rates",
@@ -116,7 +146,7 @@ w as materialized (select t, len(string_split(s[2:-2], '><')) n, list_sum(list_t
 k as (select doc_id, sum(c * n)::bigint n, sum(c * z)::bigint z from o join w using (t) group by doc_id)
 select d.doc_id, coalesce(n, 0)::bigint token_count, {_WORDS}::bigint words, coalesce(n, 0) / nullif({_WORDS}, 0) fertility, true roundtrip_ok, coalesce(z, 0)::bigint id_sum from d left join k on d.doc_id = k.doc_id""",
         "decode_documents": f"""with d as (select doc_id, regexp_replace(regexp_replace({_T}, '^[{_S}]+', ''), '[{_S}]+$', '') text from documents), p as (select doc_id, list_transform({_PRETOKENS}, lambda p: {_FOLD}) x from d)
-select doc_id, sha256(array_to_string(x, '')) text_sha256 from p where len(x) > 0""",
+select doc_id, sha256(array_to_string(x, '')) text_sha256 from p""",
         "roundtrip_gate": f"with l as (select lang, doc_id, x[i] t, i from (select lang, doc_id, x, unnest(range(1, len(x) + 1)) i from (select lang, doc_id, {line} x from documents))), r as (select *, row_number() over (partition by lang order by doc_id, i) r from l where length({_VISIBLE('t')}) > 0) select count(*) + {len(Q.SAMPLES)} samples, 0::bigint failures, true passed from r where r <= 40",
         "metaspace_pieces": "select doc_id, len(regexp_extract_all(replace(coalesce(text, ''), ' ', '▁'), '▁[^▁]*|[^▁]+'))::bigint pieces, replace(array_to_string(regexp_extract_all(replace(coalesce(text, ''), ' ', '▁'), '▁[^▁]*|[^▁]+'), ''), '▁', ' ') = text lossless from documents",
         "display_escapes": "select page_id, url_encode(url) quoted, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) escaped_sha256 from pages",
@@ -129,7 +159,7 @@ select doc_id, sha256(array_to_string(x, '')) text_sha256 from p where len(x) >
         "minhash_links": f"with {_MINHASH} select a, b, n / (p + q - n) jaccard from j where n / (p + q - n) >= {C.SIMILARITY}",
         "contaminated": _DIRTY,
         "decontaminated": f"select doc_id from documents where doc_id not in (select doc_id from ({_DIRTY}))",
-        "quality_filter": f"with {_FEATURES} select doc_id, lang, round(letters, 9) letters, round(least, 9) least, kept from kept",
+        "quality_filter": f"with {_FEATURES} select doc_id, lang, letters, least, kept from kept",
         "license_allowlist": f"select doc_id, {_LICENSE} license, {_LICENSE} in {C.ALLOWED!r} allowed from documents",
         "secret_scrub": f"select doc_id, sha256(regexp_replace({_T}, '{_q(C.SECRET)}', '<SECRET>', 'g')) text_sha256, len(regexp_extract_all({_T}, '{_q(C.SECRET)}'))::bigint redactions from documents",
         "personal_data": f"select doc_id, {', '.join(f'len(regexp_extract_all({_T}, {_q2(p)}))::bigint {k}' for k, p in C.PII.items() if k != 'card')}, len(list_filter(regexp_extract_all({_T}, {_q2(C.PII['card'])}), lambda x: {_LUHN}))::bigint card from documents",

@@ -313,3 +313,33 @@ def test_training_keeps_all_words_beyond_the_drivers_bound(spark, monkeypatch):
     few, whole = fertility.training_rounds(docs, 256 + 10, 2, max_words=5), fertility.training_rounds(docs, 256 + 10, 2)
     assert [x["round"] for x in few[0]] == [1, 2] and few[1]["fertility"] == whole[1]["fertility"]
     assert [m[:2] for m in few[1]["merges"]] == [m[:2] for m in whole[1]["merges"]]
+
+
+def test_decoding_keeps_every_row(spark):
+    vocab = bpe.vocabulary(spark, [("61", "62", 3)])
+    rows = spark.createDataFrame([(1, [256, 32]), (2, []), (3, None), (1, [97]), (None, [195, 169])], "doc_id long, ids array<int>")
+    got = [(r.doc_id, r.text) for r in bpe.decode_ids(rows, vocab, "doc_id").collect()]
+    assert sorted(got, key=str) == sorted([(1, "ab "), (2, ""), (3, None), (1, "a"), (None, "é")], key=str)
+    for bad in ([257], [-1], [None]):
+        with pytest.raises(Exception, match="no such id"):
+            bpe.decode_ids(spark.createDataFrame([(1, bad)], "doc_id long, ids array<int>"), vocab, "doc_id").collect()
+    tokens = spark.createDataFrame([(["61", "6162"],), (["zz"],)], "t array<string>")
+    names = bpe.vocabulary_list([("61", "62", 3)])
+    assert [r.x for r in tokens.select(bpe.token_ids(F.col("t"), names).alias("x")).collect()] == [[97, 256], [None]]
+    with pytest.raises(Exception, match="no such token"):
+        tokens.select(bpe.token_ids(F.col("t"), names, strict=True).alias("x")).collect()
+
+
+def test_quality_quantile_is_exact(spark):
+    texts = ["a" * k + "1" * (200 - k) for k in range(1, 120)]
+    got = cleaning.quality_filter(docs_of(spark, texts), 0.3).collect()
+    shares = sorted(k / 200 for k in range(1, 120))
+    assert {r.least for r in got} == {shares[-(-119 * 3 // 10) - 1]} and max(abs(r.letters - (r.doc_id + 1) / 200) for r in got) < 1e-15
+
+
+def test_lines_and_labels(spark):
+    docs = spark.createDataFrame([("en", "a b\n\n  \nc"), ("xx", "d")], "lang string, text string")
+    got = {r.lang: (r.tokens, r.words) for r in fertility.by_line(docs, []).collect()}
+    assert got == {"en": (4, 3), "xx": (1, 1)}
+    named = {r.lang: (r.label, r.code) for r in fertility.with_labels(fertility.by_line(docs, []), corpora.languages(spark)).collect()}
+    assert named == {"en": ("English", "en"), "xx": ("xx", "xx")}

@@ -39,4 +39,5 @@ def test_query_equals_sql(spark, engine, sf_small, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_query_runs(spark, sf_small, name):
-    assert registry.queries()[name](spark, sf_small).columns
+    rows = registry.queries()[name](spark, sf_small).toPandas()
+    assert len(rows.columns) and (len(rows) or name == "aadhaar_numbers")
