@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,21 @@ class Forest:
         return True
 
 
+#: Edges that one task joins at once (16 bytes each).
+SMALL = 400_000
+
+
+def _joined(t: pa.Table) -> pa.Table:
+    """Every node of the edges with the smallest node of its component."""
+    nodes, inv = np.unique(np.concatenate((t["a"].to_numpy(), t["b"].to_numpy())), return_inverse=True)
+    forest, n = Forest(len(nodes)), len(t)
+    for x, y in zip(inv[:n].tolist(), inv[n:].tolist(), strict=True):
+        forest.join(x, y)
+    root = nodes[[forest.root(x) for x in range(len(nodes))]]
+    away = root != nodes
+    return pa.table({"from": nodes[away], "to": root[away]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label`` (smallest node of its component) of every node of ``edges(a, b)``.
 
@@ -37,16 +54,17 @@ def components(edges: DataFrame) -> DataFrame:
     the ends; contracted edges that are loops or repeats go.  Every node that is
     left in a round stands for two of the round before at least, so rounds and
     passes grow with the logarithm of the size, and a forest of stars takes one.
-    The smallest node of a component is never handed on, so it is the label.
+    Once ``SMALL`` edges or fewer are left, one task joins them.  The smallest node of
+    a component is never handed on, so it is the label.
 
     What a join reads is cut off before, so that both sides are plain exchanges
-    and the engine can split the partition of a hub.  Nothing but a test for
-    emptiness comes to the driver.
+    and the engine can split the partition of a hub.  Nothing but counts comes to the
+    driver.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     steps = []
-    while not now.isEmpty():
+    while now.count() > SMALL:
         step = cut(now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.col("m").alias("to"), F.lit(True).alias("on")))
         while not step.where("on").isEmpty():
             up = step.select(F.col("from").alias("u"), F.col("to").alias("um"))
@@ -57,6 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = now.join(step, F.col("a") == F.col("from")).select("b", F.col("to").alias("x"))
         moved = moved.join(second, F.col("b") == F.col("from2"), "left").select("x", F.coalesce("to2", "b").alias("y"))
         now = cut(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    steps.append(cut(now.groupBy(F.lit(0).alias("all")).applyInArrow(_joined, "from long, to long")))
     out = nodes.withColumn("label", F.col("node"))
     for step in steps:
         out = out.join(step, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from corpuscle.llm import _deal, bpe_backtrack, bwt_dedup, crf_language, license_join, ngram_join, secret_ledger, weak_toxicity
+from corpuscle.llm import _deal, _graph, bpe_backtrack, bwt_dedup, crf_language, license_join, ngram_join, secret_ledger, weak_toxicity
 from corpuscle.llm._graph import Forest, components
 
 from .conftest import SCHEMA, odd_texts, prose, rows
@@ -78,7 +78,9 @@ def test_joins_on_empty_tables_and_missing_ids(nothing, no_id):
     assert ngram_join.keep_first(no_id).count() == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 20, 1000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(_graph, "SMALL", small)
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(25)] + [(200, 201 + i) for i in range(20)]
     forest = Forest(300)
