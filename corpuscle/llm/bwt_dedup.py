@@ -10,14 +10,14 @@ with a smaller id.
    Anchors choose what travels; they decide nothing.
 2. *Strings.*  The bytes around each occurrence of the anchors that are left, as far
    as its windows reach, go to the anchor's bucket, equal strings of a chunk once.
-3. *Merging.*  A bucket's distinct strings, but for those that share no more than the
-   anchor with any other, are cut into shards.  Each shard's suffixes
+3. *Merging.*  A bucket's distinct strings, but for those that share too few bytes around
+   the anchor with any other, are cut into shards.  Each shard's suffixes
    are sorted and give its transform.  All transforms are merged at once by refining
    an interleave: one stable pass by symbol sorts it by more symbols, and the borders
    between different prefixes are carried along.  After ``LENGTH`` symbols the
    intervals without a border are the repeated strings (the common prefixes are that
    long); no suffix is sorted again.  Each interval's smallest document id decides
-   about every window in it, and nothing else does.
+   about every window in it; a string that was not merged is its smallest document's.
 4. *Removal.*  Windows found go back to their texts as bit masks.
 
 A transform of the whole corpus would be one sequential object; cutting it by anchor
@@ -55,8 +55,8 @@ from .ngram_join import _part, _runs
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, SEED = 50, 20
-#: Bytes that every window reaches beyond its anchor, on one side at least.
-HALF = (LENGTH - SEED) // 2
+#: Classes of windows by the bytes that they reach to the left of their anchor.
+SIDES = (0, 8, 16, 24, LENGTH - SEED + 1)
 #: Anchors of a bucket; bytes of text per bucket of strings; bytes of a shard.
 BUCKET, STRINGS, SHARD = 1_000_000, 4 << 20, 1 << 19
 #: Text bytes handled at once.
@@ -327,16 +327,19 @@ def repeated(strings: np.ndarray, sizes: np.ndarray, depth: int, shard: int = SH
     return whole.places, np.cumsum(border)
 
 
-def _half_alike(text: np.ndarray, anchor: np.ndarray, left: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Strings that share their anchor and the ``HALF`` bytes on one side of it with another string.
+def _alike(text: np.ndarray, anchor: np.ndarray, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Strings that share some more bytes around their anchor with another string.
 
-    A window reaches that far on one side of its anchor at least, so the others have no
-    window in common with any string: they needn't be merged.
+    Windows are told apart by how far they reach to the left of the anchor, in
+    ``SIDES`` classes.  Those of a class have a core in common that all of them cover; a
+    string whose cores all stand alone has no window in common with any other string,
+    so it needn't be merged.
     """
     p, out = prefix_hash(text), np.zeros(len(size), bool)
-    for able, lo, hi in ((left >= HALF, -HALF, SEED), (size - left - SEED >= HALF, 0, SEED + HALF)):
-        some = np.flatnonzero(able)
-        _, inv, count = np.unique(span_hash(p, anchor[some] + lo, anchor[some] + hi), return_inverse=True, return_counts=True)
+    least = left - (size - LENGTH)
+    for lo, hi in zip(SIDES[:-1], SIDES[1:], strict=True):
+        some = np.flatnonzero((least < hi) & (left >= lo))
+        _, inv, count = np.unique(span_hash(p, anchor[some] - lo, anchor[some] + LENGTH - hi + 1), return_inverse=True, return_counts=True)
         out[some] |= count[inv] > 1
     return out
 
@@ -350,31 +353,24 @@ def _found(bucket: int, x: dict) -> pa.Table:
     whole, first = np.unique(whole, return_index=True)
     at, size, left = at[first], size[first], left[first]
     which, ids, key, number = np.searchsorted(whole, x["whole"]), x["id"], x["key"], x["number"]
-    least, most = np.full(len(whole), np.iinfo(np.int64).max), np.full(len(whole), np.iinfo(np.int64).min)
+    least = np.full(len(whole), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
-    np.maximum.at(most, which, ids)
-    # Strings of one document that are like no other go, with their occurrences.
-    keep = (least < most) | _half_alike(x["bytes"], at + left, left, size)
-    new = np.cumsum(keep) - 1
-    stays = keep[which]
-    which, ids, key, number = new[which[stays]], ids[stays], key[stays], number[stays]
-    at, size, least = at[keep], size[keep], least[keep]
-    if not len(size):
-        return pa.table({"id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "number": pa.array([], pa.binary()), "mask": pa.array([], pa.binary())})
-    # The windows of all strings, by string: the smallest document that has each, from the intervals.
+    # The smallest document that has each window of each string: the string's own, or that of the window's interval.
     windows = size - LENGTH + 1
     w_at = np.concatenate(([0], np.cumsum(windows)))
     smallest = np.repeat(least, windows)
-    places, interval = repeated(x["bytes"][csr_gather(at, size)], size, LENGTH)
-    starts = np.concatenate(([0], np.cumsum(size + 1)))
-    string = np.repeat(np.arange(len(size)), size + 1)[places]
-    offset = places - starts[string]
-    window = offset < windows[string]
-    w, interval = w_at[string[window]] + offset[window], interval[window]
-    # Intervals stand in order, so the least of each is a running segment.
-    border = np.flatnonzero(np.concatenate((np.ones(min(1, len(interval)), bool), interval[1:] != interval[:-1])))
-    low = np.minimum.reduceat(smallest[w], border)
-    smallest[w] = np.repeat(low, np.diff(np.concatenate((border, [len(w)]))))
+    like = np.flatnonzero(_alike(x["bytes"], at + left, left, size))
+    if len(like):
+        places, interval = repeated(x["bytes"][csr_gather(at[like], size[like])], size[like], LENGTH)
+        starts = np.concatenate(([0], np.cumsum(size[like] + 1)))
+        string = np.repeat(np.arange(len(like)), size[like] + 1)[places]
+        offset = places - starts[string]
+        window = offset < windows[like][string]
+        w, interval = w_at[like[string[window]]] + offset[window], interval[window]
+        # Intervals stand in order, so the least of each is a running segment.
+        border = np.flatnonzero(np.concatenate((np.ones(min(1, len(interval)), bool), interval[1:] != interval[:-1])))
+        low = np.minimum.reduceat(smallest[w], border)
+        smallest[w] = np.repeat(low, np.diff(np.concatenate((border, [len(w)]))))
     # The windows of each occurrence that an earlier document has; most strings have none or all of one kind.
     top = np.maximum.reduceat(smallest, w_at[:-1])
     floor = np.minimum.reduceat(smallest, w_at[:-1])
