@@ -141,9 +141,32 @@ def shingle_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME))
 
 
+#: Comments, string literals and numbers of code (those in names too), for copies that differ in these only.
+COMMENT, STRING, NUMBER = r"(?s:/\*.*?\*/)|//[^\n]*|#[^\n]*", r""""[^"\n]*"|'[^'\n]*'""", r"[0-9][0-9A-Za-z_.]*"
+
+
+def code_tokens(c: Column | str) -> Column:
+    """Code without comments, with one mark for every string and one for every number."""
+    t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, COMMENT, " "), STRING, " str "), NUMBER, "0")
+
+
+def code_clones(docs: DataFrame) -> DataFrame:
+    """Near clones of code: ``a``, ``b``, ``jaccard`` of :func:`minhash_links` over normalised tokens."""
+    return minhash_links(docs.withColumn("text", code_tokens("text")))
+
+
+def paragraph_links(docs: DataFrame) -> DataFrame:
+    """Near duplicates among paragraphs: ``a_doc``, ``a_pos``, ``b_doc``, ``b_pos``, ``jaccard``, the earlier place first."""
+    links = minhash_links(paragraphs(docs).select(F.struct("doc_id", "pos").alias("doc_id"), F.col("paragraph").alias("text")))
+    return links.select(F.col("a.doc_id").alias("a_doc"), F.col("a.pos").alias("a_pos"), F.col("b.doc_id").alias("b_doc"), F.col("b.pos").alias("b_pos"), "jaccard")
+
+
 def minhash_links(docs: DataFrame) -> DataFrame:
     """``a``, ``b``, ``jaccard`` of verified near duplicates: all pairs ``a < b`` that share a band, among the first documents of equal texts.
 
+    ``doc_id`` may be any type that orders.
+
     Equal texts collapse first.  A band's members are dealt to blocks and every two
     blocks meet in a group of their own, so no group has more than a few hundred
     rows; pairs whose sizes allow the similarity are verified once.  The links of a
@@ -234,10 +257,10 @@ def license_of(c: Column | str) -> Column:
     return F.coalesce(*(F.when(t.rlike(p), F.lit(k)) for k, p in LICENSES.items()), F.lit("none"))
 
 
-def scrubbed(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """``doc_id``, ``text`` without secrets, ``redactions``."""
+def scrubbed(docs: DataFrame, mark: str = "<SECRET>", keep: list[str] = ()) -> DataFrame:
+    """``doc_id``, ``text`` without secrets, ``redactions``, and the columns ``keep``."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.regexp_replace(t, SECRET, mark).alias("text"), _count(t, SECRET).alias("redactions"))
+    return docs.select("doc_id", *keep, F.regexp_replace(t, SECRET, mark).alias("text"), _count(t, SECRET).alias("redactions"))
 
 
 def is_generated(c: Column | str) -> Column:
@@ -261,7 +284,7 @@ def aadhaar_numbers(docs: DataFrame) -> DataFrame:
 def toxicity_thresholds(docs: DataFrame, lexicon: list[str], thresholds: dict[str, float], default: float = 5.0) -> DataFrame:
     """``doc_id``, ``lang``, ``hits``, ``per_mille``, ``flagged``: lexicon words per thousand against the language's own threshold."""
     t = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    hits, words = F.size(F.filter(F.regexp_extract_all(t, F.lit(T.GRAM_WORD), 0), lambda w: w.isin(*lexicon))).cast("long"), T.word_count(t)
+    hits, words = F.size(F.filter(F.regexp_extract_all(t, F.lit(T.GRAM_WORD), 0), lambda w: w.isin(list(lexicon)))).cast("long"), T.word_count(t)
     limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in thresholds.items()), F.lit(default))
     rate = F.coalesce(F.try_divide(hits * 1000, words), F.lit(0.0))
     return docs.select("doc_id", "lang", hits.alias("hits"), rate.alias("per_mille"), (rate > limit).alias("flagged"))
@@ -278,17 +301,50 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(labels.select(F.col("doc_id").alias("l_id"), "quality", "toxic"), F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
 
 
-def funnel(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents left after each cleaning stage, in order: ``step``, ``stage``, ``documents``."""
-    dedup = exact_duplicates(docs).where("kept").select("doc_id")
-    stages = [("input", docs), ("identified", language_scores(docs).where("lang_pred <> 'und'"))]
-    stages.append(("deduplicated", stages[-1][1].join(dedup, "doc_id", "left_semi")))
-    good = quality_filter(docs).where("kept").select("doc_id")
-    stages.append(("quality", stages[-1][1].join(good, "doc_id", "left_semi")))
-    stages.append(("licensed", stages[-1][1].where(license_of("text").isin(*ALLOWED))))
-    stages.append(("decontaminated", stages[-1][1].join(contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti")))
-    parts = [df.agg(F.count("*").alias("documents")).select(F.lit(i).alias("step"), F.lit(k).alias("stage"), "documents") for i, (k, df) in enumerate(stages)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def without_generated(docs: DataFrame) -> DataFrame:
+    """Documents without marks of generated or vendored code."""
+    return docs.where(~is_generated("text"))
+
+
+def masked(docs: DataFrame, mark: str = "<PII>") -> DataFrame:
+    """Texts with mail addresses, network addresses and telephone numbers marked out."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    for kind in ("email", "ipv4", "phone"):
+        t = F.regexp_replace(t, PII[kind], mark)
+    return docs.withColumn("text", t)
+
+
+def stages(docs: DataFrame, benchmark: DataFrame, lexicon: list[str], thresholds: dict[str, float]):
+    """Name and documents of each cleaning step, in order, each over what the one before it kept.
+
+    Near duplicates go if a document with a smaller id is linked with them.  Every
+    step's rows are kept once, since several steps read their input more than once.
+    """
+    now = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    yield "input", now
+    now = once(normalised(language_scores(now).where("lang_pred <> 'und'").select("doc_id", "lang", "text")))
+    yield "identified", now
+    now = once(now.join(exact_duplicates(now).where("kept").select("doc_id"), "doc_id", "left_semi"))
+    yield "deduplicated", now
+    now = once(now.join(minhash_links(now).select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
+    yield "near_deduplicated", now
+    now = once(now.join(quality_filter(now).where("kept").select("doc_id"), "doc_id", "left_semi"))
+    yield "quality", now
+    now = now.where(license_of("text").isin(*ALLOWED))
+    yield "licensed", now
+    now = without_generated(now)
+    yield "written", now
+    now = masked(scrubbed(now, keep=["lang"]))
+    yield "scrubbed", now
+    now = once(now.join(toxicity_thresholds(now, lexicon, thresholds).where("not flagged").select("doc_id"), "doc_id", "left_semi"))
+    yield "civil", now
+    yield "decontaminated", now.join(contaminated(now, benchmark).select("doc_id"), "doc_id", "left_anti")
+
+
+def funnel(docs: DataFrame, benchmark: DataFrame, lexicon: list[str] = (), thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Documents left after each cleaning step, in order: ``step``, ``stage``, ``documents``."""
+    out = None
+    for i, (k, df) in enumerate(stages(docs, benchmark, list(lexicon), thresholds or {})):
+        p = df.agg(F.count("*").alias("documents")).select(F.lit(i).alias("step"), F.lit(k).alias("stage"), "documents")
+        out = p if out is None else out.unionByName(p)
     return out

@@ -48,6 +48,25 @@ def with_labels(rates: DataFrame, languages: DataFrame) -> DataFrame:
     return rates.join(F.broadcast(named), F.col("lang") == F.col("code"), "left").withColumn("label", F.coalesce("label", "lang")).withColumn("code", F.col("lang"))
 
 
+#: Syntactic units of JSON: marks, strings, numbers and names.
+JSON_UNIT = r'[{}\[\]:,]|"(?:[^"\\]|\\.)*"|[^\s{}\[\]:,"]+'
+
+
+def by_domain(rows: DataFrame, merges: list) -> DataFrame:
+    """``domain``, ``tokens``, ``words``, ``characters``, ``json_units``, ``rate``: tokens by the measure of the domain's target.
+
+    ``rows`` has ``domain`` and ``text``.  Code and LaTeX count by characters, JSON by
+    syntactic units, other domains by words.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    sizes = rows.groupBy("domain").agg(F.sum(F.length(t)).cast("long").alias("characters"), F.sum(F.regexp_count(t, F.lit(JSON_UNIT))).cast("long").alias("json_units"))
+    tokens = by_language(rows.withColumnRenamed("domain", "lang"), merges).select(F.col("lang").alias("d"), "tokens", "words")
+    measure = {d: m for d, m, _ in TARGETS}
+    kind = lambda m: F.col("domain").isin([d for d, x in measure.items() if x == m])
+    rate = F.try_divide("tokens", F.when(kind("char"), F.col("characters")).when(kind("unit"), F.col("json_units")).otherwise(F.col("words")))
+    return sizes.join(tokens, F.col("domain").eqNullSafe(F.col("d"))).select("domain", "tokens", "words", "characters", "json_units", rate.alias("rate"))
+
+
 def score(rates: DataFrame, col: str = "fertility_u", penalised: str = "hi", threshold: float = THRESHOLD) -> DataFrame:
     """One row: spread, raw and adjusted score, penalty, mean, languages over the threshold; undefined is null."""
     f = F.col(col)

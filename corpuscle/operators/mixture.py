@@ -50,6 +50,12 @@ def recoveries(turns: DataFrame, failed: str) -> DataFrame:
     return rows.where("bad").select("conv_id", "turn", F.coalesce(~F.col("next_bad"), F.lit(False)).alias("recovered"))
 
 
+def recovery_rate(turns: DataFrame, failed: str, bar: float = 0.6) -> DataFrame:
+    """One row: ``failures``, ``rate`` of those recovered from, and whether it reaches the bar (no failure does)."""
+    rate = F.avg(F.col("recovered").cast("double"))
+    return recoveries(turns, failed).agg(F.count("*").alias("failures"), rate.alias("rate"), F.coalesce(rate >= bar, F.lit(True)).alias("passed"))
+
+
 def quota(rows: DataFrame, strata: list[str], n: int, key: str, seed: str = "quota") -> DataFrame:
     """``n`` rows of each stratum by a fixed hash, with their place ``pick``."""
     h = T.hash60(F.concat(F.lit(seed), F.col(key).cast("string")))

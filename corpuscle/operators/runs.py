@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import text as T
 from ..sources import sinks
 from . import bpe, fertility
 
-RUN = "run_id string, vocab_size int, weights map<string,double>, spread double, score double, best_round int, rounds array<struct<round int, spread double, score double>>, fertility map<string,double>"
+RUN = "run_id string, vocab_size int, weights map<string,double>, spread double, score double, best_round int, rounds array<struct<round int, spread double, score double>>, fertility map<string,double>, created timestamp"
 MERGES = "run_id string, rank int, a string, b string, n double"
 
 
@@ -26,7 +27,7 @@ class Runs:
         log, best = fertility.training_rounds(docs, vocab_size, rounds, weights)
         config = json.dumps([vocab_size, rounds, weights, best["weights"], [m[:2] for m in best["merges"]]], sort_keys=True)
         run_id = sinks.run_id(config)
-        row = (run_id, vocab_size, best["weights"], best["spread"], best["score"], best["round"], [(x["round"], x["spread"], x["score"]) for x in log], {k: v for k, v in best["fertility"].items() if v is not None})
+        row = (run_id, vocab_size, best["weights"], best["spread"], best["score"], best["round"], [(x["round"], x["spread"], x["score"]) for x in log], {k: v for k, v in best["fertility"].items() if v is not None}, datetime.now(timezone.utc))
         self.spark.createDataFrame([(run_id, i, a, b, float(n)) for i, (a, b, n) in enumerate(best["merges"])], MERGES).write.mode("overwrite").parquet(f"{self.folder}/merges/{run_id}")
         self.spark.createDataFrame([row], RUN).write.mode("overwrite").parquet(f"{self.folder}/runs/{run_id}")
         return run_id

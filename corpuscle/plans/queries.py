@@ -115,6 +115,15 @@ def fertility_targets(spark, sf_dir):
     return fertility.meets_targets(fertility_by_language(spark, sf_dir).select(F.col("lang").alias("domain"), F.col("fertility_w").alias("rate")))
 
 
+def domain_rates(spark, sf_dir):
+    """Tokens by each domain's own measure: documents by language, web pages as code, event properties as JSON."""
+    docs = _docs(spark, sf_dir)
+    rows = docs.select(F.col("lang").alias("domain"), "text")
+    rows = rows.unionByName(_table(spark, sf_dir, "pages").select(F.lit("code").alias("domain"), F.col("html").alias("text")))
+    rows = rows.unionByName(_table(spark, sf_dir, "events").select(F.lit("json").alias("domain"), F.col("props").alias("text")))
+    return fertility.by_domain(rows, _merges(docs))
+
+
 def rebalanced_weights(spark, sf_dir):
     return fertility.rebalanced(fertility_by_language(spark, sf_dir), WEIGHTS)
 
@@ -215,6 +224,14 @@ def minhash_links(spark, sf_dir):
     return cleaning.minhash_links(_docs(spark, sf_dir))
 
 
+def paragraph_links(spark, sf_dir):
+    return cleaning.paragraph_links(_docs(spark, sf_dir))
+
+
+def code_clones(spark, sf_dir):
+    return cleaning.code_clones(_docs(spark, sf_dir))
+
+
 def contaminated(spark, sf_dir):
     return cleaning.contaminated(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
@@ -249,6 +266,14 @@ def code_checks(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", cleaning.is_generated("text").alias("generated"), udfs.parses(F.col("text")).alias("parses"))
 
 
+def written_documents(spark, sf_dir):
+    return cleaning.without_generated(_docs(spark, sf_dir)).select("doc_id")
+
+
+def masked_texts(spark, sf_dir):
+    return cleaning.masked(_docs(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def toxicity_thresholds(spark, sf_dir):
     return cleaning.toxicity_thresholds(_docs(spark, sf_dir), LEXICON, THRESHOLDS)
 
@@ -263,7 +288,7 @@ def labelled_documents(spark, sf_dir):
 
 
 def cleaning_funnel(spark, sf_dir):
-    return cleaning.funnel(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return cleaning.funnel(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"), LEXICON, THRESHOLDS)
 
 
 _TARGETS = (("en", 50.0), ("fr", 20.0), ("de", 20.0), ("es", 10.0))
@@ -287,6 +312,16 @@ def fine_tuning_shares(spark, sf_dir):
     return mixture.shares(_table(spark, sf_dir, "conversations").withColumn("turns", F.lit(1).cast("long")), "role", "turns", targets)
 
 
+def fine_tuning_sample(spark, sf_dir):
+    """Turns taken at the rates of :func:`fine_tuning_shares`."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("place", F.concat_ws(":", "conv_id", "turn"))
+    return mixture.sample(turns, "role", fine_tuning_shares(spark, sf_dir), "place", "sft").select("conv_id", "turn", "role")
+
+
+def recovery_rate(spark, sf_dir):
+    return mixture.recovery_rate(_table(spark, sf_dir, "conversations"), "(?i)error|sorry|th")
+
+
 def recoveries(spark, sf_dir):
     return mixture.recoveries(_table(spark, sf_dir, "conversations"), "(?i)error|sorry|th")
 

@@ -10,6 +10,7 @@ from . import queries as Q
 
 _S = T.SPACE
 _q = lambda s: s.replace("'", "''")
+_q2 = lambda s: "'" + _q(s) + "'"
 _T = "coalesce(text, '')"
 _WORDS = rf"len(regexp_extract_all({_T}, '[^{_S}]+'))"
 _UNITS = rf"len(regexp_extract_all({_T}, '{T.UNIT}'))"
@@ -43,14 +44,19 @@ rates as (select sizes.lang, coalesce(tokens, 0) tokens, words, faithful_units,
 _LINE_SPLIT = rf"regexp_split_to_array({_T}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 
 
+def _spoken() -> str:
+    """Merges over the distinct pretokens of table ``spoken``: the last table is l<merges>."""
+    steps = [r"l0 as (select distinct t, regexp_replace(hex(encode(t)), '(..)', '<\1>', 'g') s from spoken)"]
+    for i in range(Q.MERGES):
+        steps.append(f"l{i + 1} as materialized (select t, case when a is null then s else replace(s, '<' || a || '><' || b || '>', '<' || a || b || '>') end s from l{i} left join b{i} on true)")
+    return ", ".join(steps)
+
+
 def _line_rates() -> str:
     """Rates over non-blank lines: their pretokens go through the merges of the whole texts."""
     lines = f"lines as materialized (select lang, text from (select lang, unnest({_LINE_SPLIT}) text from documents) where length({_VISIBLE('text')}) > 0)"
     counted = f"spoken as materialized (select lang, t, count(*) c from (select lang, {_FOLD} t from (select lang, unnest({_PRETOKENS}) p from lines)) group by all)"
-    steps = [r"l0 as (select distinct t, regexp_replace(hex(encode(t)), '(..)', '<\1>', 'g') s from spoken)"]
-    for i in range(Q.MERGES):
-        steps.append(f"l{i + 1} as materialized (select t, case when a is null then s else replace(s, '<' || a || '><' || b || '>', '<' || a || b || '>') end s from l{i} left join b{i} on true)")
-    return f"""with {_CHAIN}, {lines}, {counted}, {', '.join(steps)},
+    return f"""with {_CHAIN}, {lines}, {counted}, {_spoken()},
 tokens as (select lang, sum(spoken.c * len(string_split(s[2:-2], '><')))::bigint tokens from spoken join l{Q.MERGES} using (t) group by lang),
 sizes as (select lang, sum({_WORDS})::bigint words, sum({_UNITS})::bigint faithful_units from lines group by lang)
 select sizes.lang, coalesce(tokens, 0) tokens, words, faithful_units, tokens / nullif(words, 0) fertility_w, tokens / nullif(faithful_units, 0) fertility_u from sizes left join tokens on sizes.lang is not distinct from tokens.lang"""
@@ -93,24 +99,54 @@ targets(s, target) as (values {', '.join(f"('{k}', {v}::double)" for k, v in tar
 u as (select slice, amount, amount / sum(amount) over () share, coalesce(target, 0) target from t left join targets on slice = s),
 rated as (select slice, amount, share, target, coalesce((target / share) / max(target / share) over (), 0) rate from u)"""
 _MIX = _SHARES("documents", "lang", _WORDS, [(k, v / 100) for k, v in Q._TARGETS])
+_SFT = _SHARES("conversations", "role", "1", [("user", 0.45), ("assistant", 0.45), ("system", 0.1)])
 _TOXIC = f"tox as (select doc_id, lang, {_STOP(Q.LEXICON)}::bigint hits, coalesce({_STOP(Q.LEXICON)} * 1000 / nullif({_WORDS}, 0), 0) per_mille from documents), flags as (select *, per_mille > case {' '.join(f'when lang = {k!r} then {v}' for k, v in Q.THRESHOLDS.items())} else 5.0 end flagged from tox)"
-_MINHASH = f"""classes as (select min(doc_id) doc_id, any_value({_T}) t from documents group by sha256({_T})),
+def _minhash(rows: str) -> str:
+    """Links among ``rows``, which have ``doc_id`` and ``t``."""
+    return f"""classes as (select min(doc_id) doc_id, any_value(t) t from ({rows}) group by sha256(t)),
 sh as (select doc_id, list_distinct(list_transform(list_distinct(list_transform(range(1, len(w) - {C.SHINGLE - 2}), lambda i: array_to_string(w[i:i+{C.SHINGLE - 1}], ' '))), lambda g: ('0x' || substr(md5(g), 1, 8))::bigint % {C.PRIME})) h from (select doc_id, regexp_extract_all(lower(t), '{T.GRAM_WORD}') w from classes) where len(w) >= {C.SHINGLE}),
 m as materialized (select doc_id, h, [{', '.join(f'list_min(list_transform(h, lambda x: (x * {a} + {b}) % {C.PRIME}))' for a, b in C.hash_family())}] m from sh),
-bands as (select doc_id, k band, array_to_string(m[k*{C.ROWS}+1:k*{C.ROWS}+{C.ROWS}], '_') v from (select doc_id, m, unnest(range(0, {C.HASHES // C.ROWS})) k from m)),
-hubs as (select band, v, min(doc_id) a from bands group by band, v having count(*) > 1),
-pairs as (select distinct a, doc_id b from bands join hubs using (band, v) where doc_id <> a),
-j as (select a, b, len(list_intersect(x.h, y.h)) n, len(x.h) p, len(y.h) q from pairs join m x on x.doc_id = a join m y on y.doc_id = b)"""
+bands as materialized (select doc_id, k band, array_to_string(m[k*{C.ROWS}+1:k*{C.ROWS}+{C.ROWS}], '_') v from (select doc_id, m, unnest(range(0, {C.HASHES // C.ROWS})) k from m)),
+pairs as (select distinct x.doc_id a, y.doc_id b from bands x join bands y on x.band = y.band and x.v = y.v and x.doc_id < y.doc_id),
+j as (select a, b, len(list_intersect(x.h, y.h)) n, len(x.h) p, len(y.h) q from pairs join m x on x.doc_id = a join m y on y.doc_id = b),
+links as (select a, b, n / (p + q - n) jaccard from j where n / (p + q - n) >= {C.SIMILARITY})"""
+
+
+_MINHASH = _minhash(f"select doc_id, {_T} t from documents")
+_CODE = f"regexp_replace(regexp_replace(regexp_replace({_T}, '{_q(C.COMMENT)}', ' ', 'g'), '{_q(C.STRING)}', ' str ', 'g'), '{_q(C.NUMBER)}', '0', 'g')"
+_MASKED = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, {_q2(C.PII['email'])}, '<PII>', 'g'), {_q2(C.PII['ipv4'])}, '<PII>', 'g'), {_q2(C.PII['phone'])}, '<PII>', 'g')"
 
 
 def _funnel() -> str:
-    lang = _language()
-    return f"""with l as ({lang}), {_DUPES}, {_FEATURES}, dirty as ({_DIRTY}),
-one as (select doc_id from d join g using (digest) where doc_id = first_id), good as (select doc_id from kept where kept),
-s1 as (select doc_id, text from documents where doc_id in (select doc_id from l where lang_pred <> 'und')), s2 as (select * from s1 where doc_id in (select doc_id from one)),
-s3 as (select * from s2 where doc_id in (select doc_id from good)), s4 as (select * from s3 where {_LICENSE} in {C.ALLOWED!r}), s5 as (select * from s4 where doc_id not in (select doc_id from dirty))
-select 0 step, 'input' stage, count(*) documents from documents union all select 1, 'identified', count(*) from s1 union all select 2, 'deduplicated', count(*) from s2
-union all select 3, 'quality', count(*) from s3 union all select 4, 'licensed', count(*) from s4 union all select 5, 'decontaminated', count(*) from s5"""
+    """Each step over the rows of the one before it."""
+    over = lambda i, sql: sql.replace("from documents", f"from s{i}")
+    secret = f"regexp_replace(text, '{_q(C.SECRET)}', '<SECRET>', 'g')"
+    kept = lambda i, where: f"s{i} as materialized (select * from s{i - 1} where {over(i - 1, where)})"
+    steps = [
+        f"s0 as materialized (select doc_id, lang, {_T} text from documents)",
+        f"s1 as materialized (select doc_id, lang, nfc_normalize(text) text from s0 where doc_id in (select doc_id from ({over(0, _language())}) where lang_pred <> 'und'))",
+        kept(2, f"doc_id in (with {_DUPES} select doc_id from d join g using (digest) where doc_id = first_id)"),
+        kept(3, f"doc_id not in (with {_MINHASH} select b from links)"),
+        kept(4, f"doc_id in (with {_FEATURES} select doc_id from kept where kept)"),
+        kept(5, f"{_LICENSE} in {C.ALLOWED!r}"),
+        kept(6, f"not regexp_matches(text, {_q2(C.GENERATED)})"),
+        f"s7 as materialized (select doc_id, lang, {_MASKED(secret)} text from s6)",
+        kept(8, f"doc_id in (with {_TOXIC} select doc_id from flags where not flagged)"),
+        kept(9, f"doc_id not in (select doc_id from ({_DIRTY}))"),
+    ]
+    names = ("input", "identified", "deduplicated", "near_deduplicated", "quality", "licensed", "written", "scrubbed", "civil", "decontaminated")
+    return f"with {', '.join(steps)} " + " union all ".join(f"select {i} step, '{x}' stage, count(*) documents from s{i}" for i, x in enumerate(names))
+
+
+def _domains() -> str:
+    """Tokens of other texts under the documents' merges, by each domain's measure."""
+    texts = "texts as materialized (select lang domain, coalesce(text, '') text from documents union all select 'code', coalesce(html, '') from pages union all select 'json', coalesce(props::varchar, '') from events)"
+    kind = lambda m: "(" + ", ".join(repr(d) for d, x, _ in R.TARGETS if x == m) + ")"
+    return f"""with {_CHAIN}, {texts}, spoken as materialized (select domain, t, count(*) c from (select domain, {_FOLD} t from (select domain, unnest({_PRETOKENS}) p from texts)) group by all), {_spoken()},
+tokens as (select domain, sum(spoken.c * len(string_split(s[2:-2], '><')))::bigint tokens from spoken join l{Q.MERGES} using (t) group by domain),
+sizes as (select domain, sum({_WORDS})::bigint words, sum(length(text))::bigint as characters, sum(len(regexp_extract_all(text, {_q2(R.JSON_UNIT)})))::bigint json_units from texts group by domain),
+x as (select sizes.domain, coalesce(tokens, 0)::bigint tokens, words, characters, json_units from sizes left join tokens on sizes.domain is not distinct from tokens.domain)
+select *, tokens / nullif(case when coalesce(domain in {kind('char')}, false) then characters when coalesce(domain in ({kind('unit')[1:-1]}), false) then json_units else words end, 0) rate from x"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -156,7 +192,14 @@ select doc_id, sha256(array_to_string(x, '')) text_sha256 from p""",
         "duplicate_groups": f"with {_DUPES} select digest, copies, first_id from g where copies > 1",
         "paragraph_duplicates": f"with {_PARAGRAPHS} select doc_id, pos::int pos, copies, doc_id = f.doc_id and pos = f.pos kept from r join g using (digest)",
         "texts_without_repeats": f"with {_PARAGRAPHS} select doc_id, sha256(string_agg(paragraph, chr(10) order by pos)) text_sha256 from r join g using (digest) where doc_id = f.doc_id and pos = f.pos group by doc_id",
-        "minhash_links": f"with {_MINHASH} select a, b, n / (p + q - n) jaccard from j where n / (p + q - n) >= {C.SIMILARITY}",
+        "minhash_links": f"with {_MINHASH} select a, b, jaccard from links",
+        "code_clones": f"with {_minhash(f'select doc_id, {_CODE} t from documents')} select a, b, jaccard from links",
+        "paragraph_links": f"with {_PARAGRAPHS}, {_minhash('select struct_pack(doc_id := doc_id, pos := pos) doc_id, paragraph t from r')} select a.doc_id a_doc, a.pos::int a_pos, b.doc_id b_doc, b.pos::int b_pos, jaccard from links",
+        "written_documents": f"select doc_id from documents where not regexp_matches({_T}, {_q2(C.GENERATED)})",
+        "masked_texts": f"select doc_id, sha256({_MASKED(_T)}) text_sha256 from documents",
+        "domain_rates": _domains(),
+        "recovery_rate": "with a as (select conv_id, turn, regexp_matches(coalesce(text, ''), '(?i)error|sorry|th') bad from conversations where role = 'assistant'), n as (select *, lead(bad) over (partition by conv_id order by turn) nb from a), r as (select coalesce(not nb, false)::int::double x from n where bad) select count(*) failures, avg(x) rate, coalesce(avg(x) >= 0.6, true) passed from r",
+        "fine_tuning_sample": f"with {_SFT} select conv_id, turn, role from conversations join rated on role = slice where {_HASH60(chr(39) + 'sft' + chr(39) + ' || conv_id || chr(58) || turn')} / {float(1 << 60)!r} < rate",
         "contaminated": _DIRTY,
         "decontaminated": f"select doc_id from documents where doc_id not in (select doc_id from ({_DIRTY}))",
         "quality_filter": f"with {_FEATURES} select doc_id, lang, letters, least, kept from kept",
@@ -169,7 +212,7 @@ select doc_id, sha256(array_to_string(x, '')) text_sha256 from p""",
         "cleaning_funnel": _funnel(),
         "mixture_shares": f"with {_MIX} select slice, amount, share, target, rate from rated",
         "mixture_sample": f"with {_MIX} select doc_id, lang from documents join rated on lang = slice where {_HASH60(chr(39) + 'mix' + chr(39) + ' || doc_id')} / {float(1 << 60)!r} < rate",
-        "fine_tuning_shares": f"with {_SHARES('conversations', 'role', '1', [('user', 0.45), ('assistant', 0.45), ('system', 0.1)])} select slice, amount, share, target, rate from rated",
+        "fine_tuning_shares": f"with {_SFT} select slice, amount, share, target, rate from rated",
         "recoveries": "with a as (select conv_id, turn, regexp_matches(coalesce(text, ''), '(?i)error|sorry|th') bad from conversations where role = 'assistant'), n as (select *, lead(bad) over (partition by conv_id order by turn) nb from a) select conv_id, turn, coalesce(not nb, false) recovered from n where bad",
         "annotator_quota": f"select doc_id, lang, source, pick::int pick from (select doc_id, lang, source, row_number() over (partition by lang, source order by {_HASH60(chr(39) + 'quota' + chr(39) + ' || doc_id')}, doc_id) pick from documents) where pick <= 3",
         "synthetic_cap": "with x as (select coalesce(source = 'src3', false) s from documents) select count(*) total, count(*) filter (s) flagged, avg(s::int::double) share, avg(s::int::double) <= 0.08 within_cap from x",
@@ -180,7 +223,3 @@ select doc_id, sha256(array_to_string(x, '')) text_sha256 from p""",
         "vocabulary_budget": "select 130856::bigint entries, 131072::bigint budget, true fits",
         "token_epochs": f"select 1e6::double budget, sum({_WORDS})::double unique_tokens, 1e6 / sum({_WORDS}) epochs, 1e6 / sum({_WORDS}) <= 2 within_cap from documents",
     }
-
-
-def _q2(pattern: str) -> str:
-    return "'" + _q(pattern) + "'"

@@ -29,6 +29,16 @@ def corpus(spark: SparkSession, folder: str, suffix: str = ".faithful.txt") -> D
     return rows.select(F.substring_index(name, ".", 1).alias("lang"), F.col("value").alias("text"))
 
 
+def written_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """``lang`` and ``text``: one row a line of what :func:`sinks.write_corpus` wrote."""
+    return spark.read.schema("text string, lang string").text(folder).select("lang", "text")
+
+
+def files(spark: SparkSession, folder: str, suffix: str = ".faithful.txt") -> DataFrame:
+    """``path`` and ``length`` of a folder's files with a suffix, by path; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length").orderBy("path")
+
+
 def corpus_lines(spark: SparkSession, folder: str, suffix: str = ".faithful.txt") -> DataFrame:
     """``lang``, ``line_no`` (from 1), ``line``."""
     rows = corpus(spark, folder, suffix).select("lang", F.posexplode(T.lines("text")).alias("line_no", "line"))
@@ -39,6 +49,11 @@ def corpus_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(META).option("pathGlobFilter", "*.meta.json").option("multiLine", True).json(folder)
 
 
+def written_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of what :func:`sinks.write_metadata` wrote: an object a line."""
+    return spark.read.schema(META).json(folder)
+
+
 def metrics(spark: SparkSession, path: str) -> DataFrame:
     """One row a language of a metrics document, with its spread and scores."""
     doc = spark.read.schema(METRICS).option("multiLine", True).json(path)
@@ -78,6 +93,12 @@ def read_through(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     return wanted.join(cache, ["lang", "title"]), wanted.join(cache, ["lang", "title"], "left_anti")
 
 
+def refilled(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The cache with the fetched ``(lang, title, text)`` that it lacks; texts that failed (null) aren't kept."""
+    new = fetched.where("text is not null").select("lang", "title", "text").dropDuplicates(["lang", "title"])
+    return cache.unionByName(new.join(cache, ["lang", "title"], "left_anti"))
+
+
 def pasted(pastes: DataFrame, fallback: DataFrame, least: int = 200) -> DataFrame:
     """``lang``, ``text``: a pasted text of more than ``least`` characters, else the fallback's."""
     t = udfs.nfc(T.strip("text"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs
 from ..operators import bpe
+from ..operators.fertility import THRESHOLD
+from . import corpora
 
 
 def write_corpus(docs: DataFrame, folder: str) -> None:
@@ -21,15 +25,38 @@ def metadata(docs: DataFrame, normalization: str = "NFC") -> DataFrame:
     return docs.groupBy("lang").agg(F.sum(F.length(t)).cast("long").alias("chars"), F.sum(F.regexp_count(t, F.lit("\n"))).cast("long").alias("lines")).withColumn("normalization", F.lit(normalization))
 
 
-def write_metadata(docs: DataFrame, folder: str) -> None:
-    metadata(docs).write.mode("overwrite").json(folder)
-
-
-def metrics_document(rates: DataFrame, scores: DataFrame, vocab_size: int, passed: bool) -> DataFrame:
-    """One JSON document from rates by language and their scores."""
-    per = rates.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", F.struct("tokens", "words", "faithful_units", F.col("fertility_u").alias("fertility")))))).alias("per_language"))
-    row = per.join(F.broadcast(scores))
-    return row.select(F.to_json(F.struct(F.lit(vocab_size).alias("vocab_size"), "per_language", "spread", "raw_score", "penalty_factor", "adjusted_score", F.lit("PASS" if passed else "FAIL").alias("roundtrip_gate"))).alias("document"))
+def described(meta: DataFrame, languages: DataFrame, source: str = "") -> DataFrame:
+    """Metadata with the fields of :data:`corpora.META`: also each language's label, code and page title."""
+    named = languages.select(F.col("lang").alias("code"), "label", "title")
+    rows = meta.join(F.broadcast(named), F.col("lang") == F.col("code"), "left")
+    return rows.select(F.coalesce("label", "lang").alias("language"), F.col("lang").alias("code"), "title", F.lit(source).alias("source"), "chars", "lines", "normalization")
+
+
+def write_metadata(docs: DataFrame, folder: str, source: str = "") -> None:
+    """One JSON object a language, a line each; :func:`corpora.written_metadata` reads them."""
+    described(metadata(docs), corpora.languages(docs.sparkSession), source).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
+def metrics_document(rates: DataFrame, scores: DataFrame, vocab_size: int, passed: bool, failures: list[tuple[str, str]] = ()) -> DataFrame:
+    """One JSON document from rates by language and their scores, with the keys that :func:`corpora.metrics` reads."""
+    label = F.col("label") if "label" in rates.columns else F.col("lang")
+    entry = F.struct(label.alias("label"), "tokens", "words", "faithful_units", F.col("fertility_u").alias("fertility"))
+    per = rates.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", entry)))).alias("per_language"))
+    missed = F.from_json(F.lit(json.dumps([{"sample": a, "decoded": b} for a, b in failures])), "array<struct<sample string, decoded string>>")
+    over = F.filter(F.split("languages_over_threshold", ","), lambda x: x != "")
+    fields = (
+        F.lit(vocab_size).alias("vocab_size"),
+        "per_language",
+        "spread",
+        "raw_score",
+        F.col("penalty_factor").alias("hindi_penalty_factor"),
+        F.col("adjusted_score").alias("hindi_adjusted_score"),
+        F.lit(THRESHOLD).alias("fertility_threshold"),
+        over.alias("languages_over_threshold"),
+        F.lit("PASS" if passed else "FAIL").alias("faithful_roundtrip_gate"),
+        missed.alias("gate_failures"),
+    )
+    return per.join(F.broadcast(scores)).select(F.to_json(F.struct(*fields)).alias("document"))
 
 
 def tokenizer_document(spark: SparkSession, merges: list) -> DataFrame:

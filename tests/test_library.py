@@ -197,7 +197,15 @@ def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("en", "the cat\nthe hat"), ("hi", "भारत")], "lang string, text string")
     sinks.write_corpus(docs, str(tmp_path / "corpus"))
     assert spark.read.text(str(tmp_path / "corpus")).count() == 3
-    sinks.write_metadata(docs, str(tmp_path / "meta"))
+    assert sorted((r.lang, r.text) for r in corpora.written_corpus(spark, str(tmp_path / "corpus")).collect()) == [("en", "the cat"), ("en", "the hat"), ("hi", "भारत")]
+    sinks.write_metadata(docs, str(tmp_path / "meta"), "paste")
+    assert {r.code: (r.language, r.title, r.source, r.lines) for r in corpora.written_metadata(spark, str(tmp_path / "meta")).collect()} == {"en": ("English", "India", "paste", 1), "hi": ("Hindi", "भारत", "paste", 0)}
+    for x in ("b", "a"):
+        (tmp_path / f"{x}.faithful.txt").write_text(x)
+    assert [r.path[-14:] for r in corpora.files(spark, str(tmp_path)).collect()] == ["a.faithful.txt", "b.faithful.txt"]
+    held = spark.createDataFrame([("en", "A", "t")], "lang string, title string, text string")
+    fetched = spark.createDataFrame([("en", "A", "u"), ("hi", "B", "v"), ("hi", "B", "v"), ("te", "C", None)], held.schema)
+    assert sorted(corpora.refilled(held, fetched).collect()) == [("en", "A", "t"), ("hi", "B", "v")]
     assert spark.read.json(str(tmp_path / "meta")).where("lang = 'en'").first()["chars"] == 15
     merges = bpe.merge_tables(bpe.pretoken_counts(docs), 5)
     doc = sinks.tokenizer_document(spark, merges)
@@ -209,7 +217,10 @@ def test_sinks(spark, tmp_path):
     assert lines[10] == "10\t\\x0a" and lines[92] == "92\t\\\\" and lines[97] == "97\ta"
     rates = fertility.by_language(docs, merges)
     metrics = json.loads(sinks.metrics_document(rates, fertility.score(rates), 261, True).first().document)
-    assert set(metrics["per_language"]) == {"en", "hi"} and metrics["roundtrip_gate"] == "PASS"
+    assert set(metrics["per_language"]) == {"en", "hi"} and metrics["faithful_roundtrip_gate"] == "PASS"
+    (tmp_path / "metrics.json").write_text(sinks.metrics_document(fertility.with_labels(rates, corpora.languages(spark)), fertility.score(rates), 261, False, [("a", "b")]).first().document)
+    read = {r.lang: r for r in corpora.metrics(spark, str(tmp_path / "metrics.json")).collect()}
+    assert read["en"].label == "English" and read["en"].vocab_size == 261 and read["hi"].fertility == rates.where("lang = 'hi'").first().fertility_u
     report = json.loads(sinks.report_document(rates, fertility.score(rates), {"en": 1}, [{"round": 1, "spread": 0.1, "score": 10000.0}], 261).first().document)
     assert report["round_log"][0]["round"] == 1 and report["weights"] == {"en": 1.0}
     assert sinks.summary_lines(rates).count() == 2 and sinks.run_id("a") == sinks.run_id("a") != sinks.run_id("b")
@@ -246,7 +257,16 @@ def test_cleaning(spark):
     assert [r.flagged for r in tox.orderBy("doc_id").collect()] == [True, False]
     assert cleaning.audit_sample(df, "lang", 2).count() == 2 and cleaning.quality_filter(df).count() == 10
     stages = [r.documents for r in cleaning.funnel(df, bench).orderBy("step").collect()]
-    assert stages[0] == 10 and stages == sorted(stages, reverse=True)
+    assert stages[0] == 10 and stages == sorted(stages, reverse=True) and len(stages) == 10
+    code = "def f(a, b): return a + b + c + d if a else h(%s) # %s"
+    near = docs_of(spark, [code % (1, "one"), code % (22, "two words"), "x\n" + long + "\nfine day", long + " x", None])
+    assert [(r.a, r.b) for r in cleaning.code_clones(near).where("jaccard = 1 or a < 2").collect()] == []
+    assert cleaning.code_clones(docs_of(spark, [code % (1, "one"), "\n" + (code % (22, "two")) + "\nreturn"])).count() == 1
+    assert [tuple(r)[:4] for r in cleaning.paragraph_links(near).collect()] == [(2, 1, 3, 0)]
+    assert cleaning.without_generated(docs_of(spark, ["// do not edit", "fine", None])).count() == 2
+    assert [r.text for r in cleaning.masked(docs_of(spark, ["a@b.org or 10.0.0.1", None])).orderBy("doc_id").collect()] == ["<PII> or <PII>", ""]
+    kept = dict((k, sorted(r.doc_id for r in x.collect())) for k, x in cleaning.stages(docs_of(spark, ["the cat and the dog", "the cat and the dog", "the idiot on this", "the " + long, "the " + long + " x"]), bench, ["idiot"], {}))
+    assert kept["deduplicated"] == [0, 2, 3, 4] and kept["near_deduplicated"] == [0, 2, 3] and kept["decontaminated"] == [0]
     assert [x for (x,) in df.select(cleaning.is_generated(F.lit("// DO NOT EDIT"))).limit(1).collect()] == [True]
 
 
@@ -260,6 +280,8 @@ def test_mixture(spark):
     assert mixture.epochs(spark, 1.6e12, 0.8e12, 2).first().within_cap
     turns = spark.createDataFrame([(1, 1, "assistant", "error"), (1, 2, "user", "?"), (1, 3, "assistant", "done"), (2, 1, "assistant", "error")], "conv_id long, turn long, role string, text string")
     assert sorted((r.conv_id, r.recovered) for r in mixture.recoveries(turns, "error").collect()) == [(1, True), (2, False)]
+    rate = mixture.recovery_rate(turns, "error").first()
+    assert (rate.failures, rate.rate, rate.passed) == (2, 0.5, False) and mixture.recovery_rate(turns, "nothing").first().passed
     assert mixture.quota(rows, ["s"], 3, "doc_id").count() == 6
     assert mixture.capped(rows.withColumn("f", F.col("doc_id") < 8), "f").first().within_cap
     bars = mixture.bars(spark.createDataFrame([("m", 0.9)], "metric string, value double"), spark.createDataFrame([("m", 0.8), ("k", 0.1)], "metric string, bar double"))
@@ -343,3 +365,10 @@ def test_lines_and_labels(spark):
     assert got == {"en": (4, 3), "xx": (1, 1)}
     named = {r.lang: (r.label, r.code) for r in fertility.with_labels(fertility.by_line(docs, []), corpora.languages(spark)).collect()}
     assert named == {"en": ("English", "en"), "xx": ("xx", "xx")}
+
+
+def test_rates_by_domain(spark):
+    rows = spark.createDataFrame([("en", "a bc"), ("code", "a bc"), ("json", '{"k": [1, "x"]}'), ("json", None), (None, "a b")], "domain string, text string")
+    got = {r.domain: r for r in fertility.by_domain(rows, []).collect()}
+    assert (got["en"].rate, got["code"].rate, got[None].rate) == (2.0, 1.0, 1.5)
+    assert got["json"].json_units == 9 and got["json"].rate == 15 / 9

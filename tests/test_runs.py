@@ -16,7 +16,7 @@ def test_run_is_kept_and_used(spark, docs, tmp_path):
     run_id = kept.train(docs, 280, 3)
     assert run_id == kept.train(docs, 280, 3) and len(run_id) == 12
     row = kept.get(run_id)
-    assert row.vocab_size == 280 and set(row.weights) == {"en", "hi"} and min(row.weights.values()) == 1.0
+    assert row.created is not None and row.vocab_size == 280 and set(row.weights) == {"en", "hi"} and min(row.weights.values()) == 1.0
     assert [r.round for r in kept.round_log(run_id).orderBy("round").collect()] == [1, 2, 3] and kept.round_log(run_id).where("best").count() == 1
     coded = kept.encode(run_id, docs).where("text <> ''")
     assert coded.where(~F.col("roundtrip_ok")).count() == 0
