@@ -35,8 +35,8 @@ def written_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, suffix: str = ".faithful.txt") -> DataFrame:
-    """``path`` and ``length`` of a folder's files with a suffix, by path; contents aren't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length").orderBy("path")
+    """``path`` and ``length`` of the files with a suffix in a folder, at any depth, by path; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(folder).select("path", "length").orderBy("path")
 
 
 def corpus_lines(spark: SparkSession, folder: str, suffix: str = ".faithful.txt") -> DataFrame:

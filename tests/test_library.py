@@ -206,7 +206,7 @@ def test_sinks(spark, tmp_path):
     held = spark.createDataFrame([("en", "A", "t")], "lang string, title string, text string")
     fetched = spark.createDataFrame([("en", "A", "u"), ("hi", "B", "v"), ("hi", "B", "v"), ("te", "C", None)], held.schema)
     assert sorted(corpora.refilled(held, fetched).collect()) == [("en", "A", "t"), ("hi", "B", "v")]
-    assert spark.read.json(str(tmp_path / "meta")).where("lang = 'en'").first()["chars"] == 15
+    assert spark.read.json(str(tmp_path / "meta")).where("code = 'en'").first()["chars"] == 15
     merges = bpe.merge_tables(bpe.pretoken_counts(docs), 5)
     doc = sinks.tokenizer_document(spark, merges)
     parsed = json.loads(doc.first().document)
