@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm import bpe_backtrack, ngram_join, pfair_mix, secret_ledger, weak_toxicity
-from corpuscle.llm._spark import forget, shared_folder, table
+from corpuscle.llm._spark import cleaning, forget, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        rows = stage(spark, docs, sf_dir)
+        with cleaning(spark):
+            rows.write.parquet(path)
         if last:
             forget(spark, last)
         docs, last = spark.read.parquet(path), path
