@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from . import _deal
 from ._graph import Forest, components
-from ._spark import cut, packed, table, unpacked
+from ._spark import cut, packed, spent, table, unpacked
 from ._text import MAX_CHUNK, chunks, csr_gather, mix, shingle_sets
 
 #: Words of a shingle.
@@ -394,11 +394,13 @@ def links(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame:
     most = named.groupBy("grp", "label").count().groupBy("grp").agg(F.max(F.struct(F.col("count"), F.col("label"))).alias("x"), F.sum("count").alias("all"))
     most = cut(most.select(F.col("grp").alias("g"), F.col("x.label").alias("top"), F.ceil((F.col("all") - F.col("x.count")) / BLOCK).cast("int").alias("rests")).where("rests > 0"))
     if most.isEmpty():
+        spent(sets)
         return found
     both = named.join(most, F.col("grp") == F.col("g"))
     rest = both.where("label <> top").select("key", F.col("grp").alias("unit"), F.pmod(F.xxhash64(F.lit(7), F.col("key")), "rests").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(2).alias("role"), "label")
     whole = both.select("key", F.col("grp").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("role"), "label")
     more = cut(search(rest.unionByName(whole)))
+    spent(sets)
     if more.isEmpty():
         return found
     return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
