@@ -16,8 +16,8 @@
 
 The sample: ``SAMPLE`` labelled and ``UNLABELLED`` other texts at most, the first by a hash
 of the id, one text an id, none of the held-out fold.  It is read once and kept;
-everything that comes to the driver is bounded by it.  Scoring is one pass without a
-shuffle.
+everything that comes to the driver is bounded by it.  There a firing is a byte, and
+``ROWS`` texts at a time become floats.  Scoring is one pass without a shuffle.
 
 Labels, lang, source and doc_id are no inputs of a score.
 
@@ -31,7 +31,7 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,8 @@ TRUST, BELIEF = 0.97, 20
 OTHERS = 0.25
 #: What it counts that some voter spoke, beside what that voter says: the choice of voters makes them look purer than they are.
 SILENCE = 0.5
+#: Texts whose firings are floats at once while the model is fitted.
+ROWS = 1024
 
 _U = np.uint64
 PATTERNS = ("shouting", "marks", "masked", "short")
@@ -152,6 +154,33 @@ def _fired(chunk: Chunk, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fired, more
 
 
+def _blocks(n: int) -> list[slice]:
+    return [slice(at, min(n, at + ROWS)) for at in range(0, n, ROWS)]
+
+
+def _each(n: int, of: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """One number a row, computed by blocks."""
+    out = np.empty(n)
+    for b in _blocks(n):
+        out[b] = of(b)
+    return out
+
+
+def _correlation(fired: np.ndarray, weight: np.ndarray, expected: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """Of the voters, by what their firings differ from what is expected of them; rows count for their weight."""
+    c = np.zeros((fired.shape[1],) * 2)
+    for b in _blocks(len(fired)):
+        r = fired[b] - expected(b)
+        c += r.T @ (weight[b][:, None] * r)
+    d = np.sqrt(np.maximum(np.diag(c), 1e-9))
+    return c / d[:, None] / d[None, :]
+
+
+def _total(fired: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How much weight each voter's firings have."""
+    return sum((weight[b] @ fired[b].astype(float) for b in _blocks(len(fired))), np.zeros(fired.shape[1]))
+
+
 class LabelModel:
     """Class-conditional firing rates of correlated voters, by expectation-maximisation."""
 
@@ -161,56 +190,64 @@ class LabelModel:
         Voter ``silent`` speaks when no other does; when others speak, it counts for
         ``SILENCE`` of what it would.
         """
-        x = fired.astype(float)
-        self.silence = np.ones(x.shape[1])
+        n = len(fired)
+        self.silence = np.ones(fired.shape[1])
         if silent is not None:
             self.silence[silent] = SILENCE
         # Rows without a label start from how many voices speak, a crowd of copies as one.
-        r = x - x.mean(0)
-        d = np.sqrt(np.maximum((r * r).sum(0), 1e-9))
-        alike = r.T @ r / d[:, None] / d[None, :]
-        voices = x @ (1 / np.maximum(1, np.where(alike > 0.5, alike, 0).sum(1)))
+        mean = _total(fired, np.ones(n)) / max(1, n)
+        alike = _correlation(fired, np.ones(n), lambda b: mean)
+        voice = 1 / np.maximum(1, np.where(alike > 0.5, alike, 0).sum(1))
+        voices = _each(n, lambda b: fired[b] @ voice)
         y = np.where(given < 0, 0.2 * voices / (voices + 1), np.where(given == 1, TRUST, 1 - TRUST))
         known, said = given >= 0, (given == 1).astype(float)
         # The labelled texts give the first rates; then the others count for a part each.
-        part = np.where(known, 1.0, OTHERS) if known.any() else np.ones(len(x))
+        part = np.where(known, 1.0, OTHERS) if known.any() else np.ones(n)
         for k in range(rounds):
             u = known.astype(float) if known.any() and k < 2 else part
             w1, w0 = (u * y).sum() + 2, (u * (1 - y)).sum() + 2
             self.balance = w1 / (w1 + w0)
-            self.toxic, self.clean = (x.T @ (u * y) + 0.05) / w1, (x.T @ (u * (1 - y)) + 0.05) / w0
+            self.toxic, self.clean = (_total(fired, u * y) + 0.05) / w1, (_total(fired, u * (1 - y)) + 0.05) / w0
             # How often a label says toxic in toxic and in clean texts.
             self.said = tuple((BELIEF * t + (said * p)[known].sum()) / (BELIEF + p[known].sum()) for t, p in ((TRUST, y), (1 - TRUST, 1 - y)))
             # Correlation within the classes: what is left of joint firings beyond both rates.
-            r = x - np.outer(y, self.toxic) - np.outer(1 - y, self.clean)
-            c = r.T @ (u[:, None] * r)
-            d = np.sqrt(np.maximum(np.diag(c), 1e-9))
-            self.correlation = c / d[:, None] / d[None, :]
+            self.correlation = _correlation(fired, u, lambda b, y=y: np.outer(y[b], self.toxic) + np.outer(1 - y[b], self.clean))
             self.weight = 1 / np.maximum(1, np.where(self.correlation > 0.1, self.correlation, 0).sum(1))
-            new = self.posterior(x, given)
+            new = self.posterior(fired, given)
             done = k > 2 and np.abs(new - y).max() < 1e-4
             y = new
             if done:
                 break
         return y
 
-    def posterior(self, x: np.ndarray, given: np.ndarray) -> np.ndarray:
+    def posterior(self, fired: np.ndarray, given: np.ndarray) -> np.ndarray:
         """Probability of toxic under the rates, each voter to the power of its weight, the given label as it is."""
-        logit = np.log(self.balance / (1 - self.balance)) + x @ (self.weight * (np.log(self.toxic) - np.log(self.clean)))
-        logit += (1 - x) @ (self.silence * self.weight * (np.log1p(-np.minimum(self.toxic, 0.999)) - np.log1p(-np.minimum(self.clean, 0.999))))
+        spoke = self.weight * (np.log(self.toxic) - np.log(self.clean))
+        kept = self.silence * self.weight * (np.log1p(-np.minimum(self.toxic, 0.999)) - np.log1p(-np.minimum(self.clean, 0.999)))
+        logit = np.log(self.balance / (1 - self.balance)) + _each(len(fired), lambda b: fired[b] @ spoke + (1.0 - fired[b]) @ kept)
         t, c = np.clip(self.said, 1e-3, 1 - 1e-3)
         logit += np.where(given < 0, 0.0, np.where(given == 1, np.log(t / c), np.log((1 - t) / (1 - c))))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 25, l2: float = 0.3) -> np.ndarray:
-    """Weights of a logistic regression on soft labels; the first column of ``x`` is constant."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], l2)
+def _inputs(fired: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The classifier's inputs, the first one constant."""
+    return np.hstack((np.ones((len(fired), 1)), fired, more))
+
+
+def _regress(fired: np.ndarray, more: np.ndarray, y: np.ndarray, rounds: int = 25, l2: float = 0.3) -> np.ndarray:
+    """Weights of a logistic regression on soft labels."""
+    w = np.zeros(1 + fired.shape[1] + more.shape[1])
+    ridge = np.full(len(w), l2)
     ridge[0] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (y - p) - ridge * w)
+        bend, slope = np.diag(ridge + 1e-9), -ridge * w
+        for b in _blocks(len(y)):
+            x = _inputs(fired[b], more[b])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            bend += (x * (p * (1 - p))[:, None]).T @ x
+            slope += x.T @ (y[b] - p)
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -238,13 +275,13 @@ class Model:
         given = got["toxic"].to_numpy()
         self.labels = LabelModel()
         y = self.labels.fit(fired, given, n - 1)
-        self.weights = _regress(np.hstack((np.ones((len(got), 1)), fired, np.array(got["more"].to_pylist(), float))), y)
+        self.weights = _regress(fired, np.array(got["more"].to_pylist(), float), y)
 
     def score(self, chunk: Chunk) -> np.ndarray:
         if self.weights is None:
             return np.full(len(chunk), float(self.base))
         fired, more = _fired(chunk, self.lexicon)
-        return 1 / (1 + np.exp(-np.clip(np.hstack((np.ones((len(chunk), 1)), fired, more)) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_inputs(fired, more) @ self.weights, -30, 30)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

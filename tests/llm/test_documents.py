@@ -3,6 +3,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -473,6 +474,28 @@ def test_license_base_sql(spark, sf_small):
     assert sorted(tuple(r) for r in license_join.license_base(spark, sf_small).select(*names).collect()) == sorted(want) and any(x[2] for x in want)
 
 
+def test_toxicity_model_is_fitted_in_little_memory(monkeypatch):
+    """Floats of a block of texts only, and the same rates and weights as from all texts at once."""
+    r = np.random.default_rng(3)
+    toxic = r.random(12_000) < 0.2
+    fired = (r.random((12_000, 200)) < np.where(toxic[:, None], 0.2, 0.01)).astype(np.uint8)
+    fired[:, -1] = ~fired[:, :-1].any(1)
+    more, given = np.log1p(fired.sum(1, keepdims=True).repeat(2, 1)), np.where(r.random(12_000) < 0.6, toxic, -1)
+
+    def fit():
+        model = weak_toxicity.LabelModel()
+        y = model.fit(fired, given, 199, rounds=6)
+        return model.toxic, model.clean, model.weight, y, weak_toxicity._regress(fired, more, y, rounds=4)
+
+    tracemalloc.start()
+    got = fit()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < fired.size * 8  # one copy of all firings as floats
+    monkeypatch.setattr(weak_toxicity, "ROWS", len(fired))
+    assert all(np.allclose(a, b, rtol=1e-7, atol=1e-10) for a, b in zip(got, fit(), strict=True))
+
+
 def test_posterior_and_score_equal_brute_force(spark):
     """The label model's posterior by products over the voters, and the score by looking every word up."""
     import math
